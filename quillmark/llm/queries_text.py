@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_runs, packing, token_files
+from . import common, line_runs, packing, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes every word under a 35-word window that starts anywhere else too."""
+    out = substring.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=35)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 _OP9 = r"""
 WITH cut AS (SELECT doc_id, text, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, r, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM cut),
@@ -48,5 +55,19 @@ SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
 FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id, r
 """
 
-QUERIES = {"op2_token_files": op2_token_files, "op5_best_fit_packing": op5_best_fit_packing, "op9_line_dedup": op9_line_dedup}
-ORACLES = {"op9_line_dedup": _OP9}
+QUERIES = {"op2_token_files": op2_token_files, "op4_substring_dedup": op4_substring_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op9_line_dedup": op9_line_dedup}
+_OP4 = r"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS w FROM split, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i)),
+rep AS (SELECT md5(w) AS m FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT r, i FROM win WHERE md5(w) IN (SELECT m FROM rep)),
+gone AS (SELECT DISTINCT r, j FROM hit, LATERAL (SELECT unnest(range(i, i + 35)) AS j)),
+word AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM split),
+kept AS (
+  SELECT word.r, count(gone.j) AS n_removed, coalesce(string_agg(CASE WHEN gone.j IS NULL THEN w END, ' ' ORDER BY word.j), '') AS t
+  FROM word LEFT JOIN gone ON word.r = gone.r AND word.j = gone.j GROUP BY word.r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (r)
+"""
+
+ORACLES = {"op4_substring_dedup": _OP4, "op9_line_dedup": _OP9}

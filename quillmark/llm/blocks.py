@@ -60,24 +60,29 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
+def texts(table: pa.Table, col: str) -> list[bytes]:
+    """UTF-8 of each text; none for null. bytes.split() then splits at ASCII blanks, and only there."""
+    return [x or b"" for x in table.column(col).cast(pa.binary()).to_pylist()]
+
+
 class WordHashes(dict):
-    """64-bit hashes of words, by word; bounded."""
+    """64-bit hashes of words, by their UTF-8; bounded."""
 
     def __init__(self, most: int = 1_000_000):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 _words = WordHashes()
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

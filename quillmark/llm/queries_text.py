@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_runs, packing, substring, token_files
+from . import common, jaccard, line_runs, packing, substring, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of 0.85 or more of their 4-word shingles."""
+    return jaccard.classes(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drops every line whose key at least 10 documents hold."""
     out = line_runs.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,7 +60,7 @@ SELECT doc_id, count(*) AS n_lines, count(hot.k) AS n_dropped,
 FROM keyed LEFT JOIN hot ON keyed.k = hot.k GROUP BY doc_id, r
 """
 
-QUERIES = {"op2_token_files": op2_token_files, "op4_substring_dedup": op4_substring_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op9_line_dedup": op9_line_dedup}
+QUERIES = {"op2_token_files": op2_token_files, "op4_substring_dedup": op4_substring_dedup, "op5_best_fit_packing": op5_best_fit_packing, "op6_ngram_jaccard": op6_ngram_jaccard, "op9_line_dedup": op9_line_dedup}
 _OP4 = r"""
 WITH split AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS w FROM split, LATERAL (SELECT unnest(range(1, len(ws) - 33)) AS i)),
@@ -70,4 +75,18 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(c
 FROM split LEFT JOIN kept USING (r)
 """
 
-ORACLES = {"op4_substring_dedup": _OP4, "op9_line_dedup": _OP9}
+_OP6 = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + 3), ' ')) AS s
+  FROM split, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS r, doc_id AS d FROM documents UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.d = link.a)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(d) FROM reach WHERE r = documents.doc_id) AS component_id
+FROM documents LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op6_ngram_jaccard": _OP6, "op4_substring_dedup": _OP4, "op9_line_dedup": _OP9}

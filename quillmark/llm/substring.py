@@ -11,7 +11,6 @@ rows; other columns are carried along unread, whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,20 +21,9 @@ from pyspark.sql import types as T
 from . import blocks as B
 from . import common
 
-_WORD = re.compile(common.WORD)
-_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words of ASCII blanks only: str.split() unless the text holds blanks that only it knows."""
-    if not text:
-        return []
-    return _WORD.findall(text) if _BLANK.search(text) else text.split()
-
-
-def _windows(texts: list[str | None], width: int) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+def _windows(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words of each text, where each begins among all, and the first word of each window among all."""
-    words = [words_of(t) for t in texts]
+    words = [t.split() for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
     begins = np.concatenate([[0], np.cumsum(counts)])
     ok = np.zeros(begins[-1] + 1, bool)
@@ -46,16 +34,16 @@ def _windows(texts: list[str | None], width: int) -> tuple[list[list[str]], np.n
 
 def window_hashes(width: int, text_col: str) -> Callable:
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        words, _, at = _windows(table.column(text_col).to_pylist(), width)
+        words, _, at = _windows(B.texts(table, text_col), width)
         h = B.word_hashes([w for x in words for w in x])
         return tuple(B.rolling(h, width, base)[at] for base in B.BASES)
 
     return hashes
 
 
-def covered(table: pa.Table, bits: list[dict] | None, width: int, text_col: str, buckets: int) -> tuple[list[list[str]], list[np.ndarray]]:
+def covered(table: pa.Table, bits: list[dict] | None, width: int, text_col: str, buckets: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
     """Words of each text and which of them a repeated window covers."""
-    words, begins, at = _windows(table.column(text_col).to_pylist(), width)
+    words, begins, at = _windows(B.texts(table, text_col), width)
     h = B.word_hashes([w for x in words for w in x])
     one, starts, index, times = B.distinct(tuple(B.rolling(h, width, base)[at] for base in B.BASES), buckets)
     repeat = (B.marks(bits, starts, len(one)) | (times > 1))[index] if len(one) else np.zeros(0, bool)
@@ -101,14 +89,15 @@ def dedup(docs: DataFrame, width: int = 35, text_col: str = "text", derive: Call
     return out
 
 
-def kept_text(words: list[str], cover: np.ndarray) -> str:
+def kept_text(words: list[bytes], cover: np.ndarray) -> bytes:
+    """The words that stay, joined by one space."""
     if not cover.any():
-        return " ".join(words)
-    return " ".join([w for w, c in zip(words, cover.tolist()) if not c])
+        return b" ".join(words)
+    return b" ".join([w for w, c in zip(words, cover.tolist()) if not c])
 
 
-def _default(table: pa.Table, words: list[list[str]], covers: list[np.ndarray]) -> pa.Table:
+def _default(table: pa.Table, words: list[list[bytes]], covers: list[np.ndarray]) -> pa.Table:
     spans = [[{"begin": a, "end": b} for a, b in intervals(c)] for c in covers]
     table = table.append_column("n_words", pa.array([len(w) for w in words], pa.int64()))
     table = table.append_column("removed", pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
-    return table.append_column("kept", pa.array([kept_text(w, c) for w, c in zip(words, covers)], pa.string()))
+    return table.append_column("kept", pa.array([kept_text(w, c) for w, c in zip(words, covers)], pa.binary()).cast(pa.string()))

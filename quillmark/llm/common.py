@@ -29,9 +29,13 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def fresh() -> str:
+    return uuid.uuid4().hex
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder. It lives until release() or the end of the application's folder."""
-    path = f"{shared_root(spark)}/quillmark/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/quillmark/{tag}-{fresh()}"
     _made.append(path)
     return path
 

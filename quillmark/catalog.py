@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans.queries import ORACLES, QUERIES
+from .streaming.queries import STREAM_QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {**QUERIES, **STREAM_QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Input bytes (as stored) behind one bucket, and characters of text in one block.
-BUCKET_BYTES = 24 << 20
-BLOCK_CHARS = 6 << 20
+BUCKET_BYTES = 12 << 20
+BLOCK_CHARS = 3 << 20
 
 
 def pack_blocks(docs: DataFrame, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -68,7 +68,7 @@ def texts(table: pa.Table, col: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, by their UTF-8; bounded."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 

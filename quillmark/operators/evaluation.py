@@ -64,6 +64,16 @@ def side_by_side(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("row_id").cast("string"), cell("line"), cell("base"), cell("reply")), F.lit(" |")).alias("markdown"))
 
 
+def counterparts(rows: DataFrame, replies: DataFrame) -> DataFrame:
+    """Each row's own base reply beside the other character's for the same template and line, with a
+    status for pairs that cannot be compared. ``rows``: id, character; ``replies``: row_id, reply."""
+    named = rows.join(replies.withColumnRenamed("row_id", "id"), "id").withColumn("scene", F.regexp_replace("id", r"-[^-]*\z", ""))
+    other = named.select("scene", F.col("character").alias("other_character"), F.col("reply").alias("other_reply"))
+    both = named.join(other, "scene").filter(F.col("character") != F.col("other_character"))
+    blank = (F.length(F.trim("reply")) == 0) | (F.length(F.trim("other_reply")) == 0)
+    return both.withColumn("status", F.when(blank, "empty").when(F.col("reply") == F.col("other_reply"), "identical").otherwise("probe"))
+
+
 def order_probe(judged: DataFrame, repeat_agrees) -> DataFrame:
     """Order consistency over probed cases. A verdict that follows the position makes its case unusable,
     but its margin still counts. ``repeat_agrees``: whether a repeated call gave the same winner."""

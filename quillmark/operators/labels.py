@@ -80,6 +80,35 @@ def human_score(choice, swapped):
     return F.when(swapped, -score).otherwise(score)
 
 
+def sources(kind):
+    """(first, second) source of a pair by its kind: the side that a positive human score favours comes first."""
+    return F.when(kind == "opener", "opener").otherwise("policy"), F.when(kind == "opener", "no_opener").otherwise("base")
+
+
+def labelled_items(key: DataFrame, items: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Answer key, page items, labels and suite rows joined; unlabelled items stay with a null score.
+
+    ``key``: id, kind, row_id, left, right; ``items``: id, left, right (texts); ``labels``: id, choice;
+    ``rows``: id, character, situation, speaker, line. Texts come out as first and second source.
+    """
+    first, _ = sources(F.col("kind"))
+    k = key.select("id", "kind", "row_id", (F.col("right") == first).alias("swapped"))
+    j = k.join(items.select("id", F.col("left").alias("l"), F.col("right").alias("r")), "id").join(labels.select("id", "choice"), "id", "left")
+    j = j.join(rows.withColumnRenamed("id", "row_id"), "row_id")
+    text = lambda a, b: F.when(F.col("swapped"), F.col(b)).otherwise(F.col(a))
+    return j.withColumn("first", text("l", "r")).withColumn("second", text("r", "l")).withColumn("human", human_score(F.col("choice"), F.col("swapped"))).drop("l", "r")
+
+
+def uncovered(key: DataFrame, items: DataFrame) -> DataFrame:
+    """Ids that only the key or only the page has; agreement is refused unless there are none."""
+    a, b = key.select("id").distinct(), items.select("id").distinct()
+    return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
+def signed_verdict(verdict):
+    return verdict - 0.5
+
+
 def agreement(rows: DataFrame, *by: str) -> DataFrame:
     """Of (human, judge) scores: sign agreement over all and over decisive pairs, and Pearson's r, null for a constant side."""
     h, j = F.signum(F.col("human").cast("double")), F.signum(F.col("judge").cast("double"))

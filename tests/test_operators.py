@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions.lexicon import STYLE_RULES, persona_identity
-from quillmark.operators import integrity, labels, pairs, prefix, reward
+from quillmark.operators import evaluation, integrity, labels, pairs, prefix, reward, stats
 from quillmark.plans import demo
 from quillmark.sources import config, frozen, runs
 from quillmark.streaming import rewards
@@ -167,6 +167,33 @@ def test_label_page_round_trip(spark, tmp_path):
     assert [tuple(r) for r in runs.page_items(spark, str(tmp_path / "label.html")).collect()] == [item]
 
 
+def test_labelled_items(spark):
+    key = spark.createDataFrame([("q1", "test", "r", "base", "policy"), ("q2", "opener", "r", "opener", "no_opener")], "id string, kind string, row_id string, left string, right string")
+    items = spark.createDataFrame([("q1", "B", "P"), ("q2", "O", "N")], "id string, left string, right string")
+    chosen = spark.createDataFrame([("q1", "L2")], "id string, choice string")
+    rows = spark.createDataFrame([("r", "rei")], "id string, character string")
+    got = {r.id: (r.first, r.second, r.human) for r in labels.labelled_items(key, items, chosen, rows).collect()}
+    assert got == {"q1": ("P", "B", -2), "q2": ("O", "N", None)}
+    assert labels.uncovered(key, items).count() == 0 and labels.uncovered(key, items.limit(1)).count() == 1
+
+
+def test_counterparts(spark):
+    rows = spark.createDataFrame([("T-L1-rei", "rei"), ("T-L1-asuka", "asuka"), ("U-L1-rei", "rei")], "id string, character string")
+    replies = spark.createDataFrame([("T-L1-rei", "a"), ("T-L1-asuka", " "), ("U-L1-rei", "b")], "row_id string, reply string")
+    got = evaluation.counterparts(rows, replies).collect()
+    assert {(r.id, r.other_reply, r.status) for r in got} == {("T-L1-rei", " ", "empty"), ("T-L1-asuka", "a", "empty")}
+
+
+def test_overflow_steps(spark):
+    log = spark.createDataFrame([(1, 0.5), (2, float("nan")), (3, float("inf"))], "step int, grad_norm double")
+    assert [r.step for r in stats.overflow_steps(log).collect()] == [2, 3]
+
+
+def test_a_stuck_stream_is_told(spark):
+    m = lambda flags: spark.createDataFrame([(i, 2 * f, 2) for i, f in enumerate(flags)], "batch long, rejected_groups long, groups long")
+    assert rewards.stuck(m([0, 1, 1, 1]), 3) and not rewards.stuck(m([1, 1, 0, 1]), 3) and not rewards.stuck(m([1, 1]), 3)
+
+
 def test_settings():
     assert settings_of("# c\nA = 'x y'\nB=2\n") == {"A": "x y", "B": "2"}
     assert config.settings("A=1", ("A",), {"A": "9", "Z": "0"}) == {"A": "9"}

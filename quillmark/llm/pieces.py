@@ -32,6 +32,8 @@ SPACE = "▁"
 _PART = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Code of characters that no piece holds, and of the gap between parts.
 OTHER, GAP = 0xFFFF, 0
+#: New parts in one index, and edges turned into Python numbers at a time.
+INDEX, EDGES = 40_000, 1 << 18
 
 
 class Vocabulary:
@@ -156,8 +158,9 @@ class PieceCoder:
         if len(self.parts) + len(new) > self.most:
             self.parts.clear()
             new = set().union(*cut)
-        if new:
-            self._learn(list(new))
+        new = list(new)
+        for i in range(0, len(new), INDEX):  # bounds the index and its edges
+            self._learn(new[i : i + INDEX])
         get = self.parts.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
@@ -187,9 +190,9 @@ class PieceCoder:
         piece = np.repeat(v.live_ids[can[hit]], n)
         end = start + np.repeat(v.sizes[can[hit]], n)
         by = np.lexsort((start, end))
-        self._relax(text, codes, begins, start[by].tolist(), end[by].tolist(), piece[by].tolist(), parts)
+        self._relax(text, codes, begins, np.stack([start[by], end[by], piece[by]]), parts)
 
-    def _relax(self, text: str, codes: np.ndarray, begins: np.ndarray, start: list[int], end: list[int], piece: list[int], parts: list[str]) -> None:
+    def _relax(self, text: str, codes: np.ndarray, begins: np.ndarray, edges: np.ndarray, parts: list[str]) -> None:
         v = self.vocabulary
         known, work = v.pairs.get, v.compatible
         #: What ends at a position: a piece, -1 for a part's begin or after a character without piece, -2 for nothing.
@@ -199,7 +202,7 @@ class PieceCoder:
             last[b] = -1
         for k in np.flatnonzero(codes == OTHER).tolist():
             last[k + 1], back[k + 1] = -1, k
-        for s, e, p in zip(start, end, piece):
+        for s, e, p in (x for i in range(0, edges.shape[1], EDGES) for x in zip(*edges[:, i : i + EDGES].tolist())):
             before = last[s]
             if before == -2 or last[e] >= 0:
                 continue

@@ -123,19 +123,43 @@ def buckets_of(docs: DataFrame, share: float = 1.0) -> int:
     return common.power_of_two(common.input_bytes(docs) * share / BUCKET_BYTES, 16)
 
 
-def distinct(hashes: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes, where each bucket begins, index of each input hash, times each occurs)."""
+def _by_bucket(hashes: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that brings each bucket together, hashes in that order, where each bucket begins)."""
     h, deal = hashes
-    b = (deal >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64) if buckets > 1 else np.zeros(len(h), np.int64)
-    order = np.lexsort((h, b)) if len(h) else np.empty(0, np.int64)
-    hs, bs = h[order], b[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (hs[1:] != hs[:-1]) | (bs[1:] != bs[:-1])
-    index = np.empty(len(h), np.int64)
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint32
+    b = (deal >> np.uint64(65 - buckets.bit_length())).astype(kind) if buckets > 1 else np.zeros(len(h), kind)
+    order = np.argsort(b, kind="stable")
+    return order, h[order], np.searchsorted(b[order], np.arange(buckets + 1))
+
+
+def _new(hs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which of the sorted hashes differ from the one before in their bucket."""
+    new = np.ones(len(hs), bool)
+    new[1:] = hs[1:] != hs[:-1]
+    new[starts[starts < len(hs)]] = True
+    return new
+
+
+def distinct(hashes: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes, sorted within their bucket; where each bucket begins)."""
+    _, hs, starts = _by_bucket(hashes, buckets)
+    for a, b in zip(starts[:-1], starts[1:]):
+        hs[a:b].sort()
+    new = _new(hs, starts)
+    return hs[new], np.concatenate([[0], np.cumsum(new)])[starts]
+
+
+def occurrences(hashes: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each bucket of distinct() begins, index of each input hash in distinct(), times each occurs)."""
+    order, hs, starts = _by_bucket(hashes, buckets)
+    for a, b in zip(starts[:-1], starts[1:]):
+        own = np.argsort(hs[a:b])
+        hs[a:b], order[a:b] = hs[a:b][own], order[a:b][own]
+    new = _new(hs, starts)
     rank = np.cumsum(new) - 1
+    index = np.empty(len(hs), np.int64)
     index[order] = rank
-    times = np.bincount(rank, minlength=0) if len(h) else np.empty(0, np.int64)
-    return hs[new], np.searchsorted(bs[new], np.arange(buckets + 1)), index, times
+    return np.concatenate([[0], np.cumsum(new)])[starts], index, np.bincount(rank) if len(hs) else np.empty(0, np.int64)
 
 
 def _squeeze(h: np.ndarray) -> bytes:
@@ -155,7 +179,7 @@ def repeated(blocks: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, n
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                h, starts, _, _ = distinct(hashes(unpack(payload.as_buffer())), buckets)
+                h, starts = distinct(hashes(unpack(payload.as_buffer())), buckets)
                 own = [k for k in range(buckets) if starts[k] < starts[k + 1]]
                 if own:
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(own)), pa.array(own, pa.int32()), pa.array([_squeeze(h[starts[k] : starts[k + 1]]) for k in own], pa.binary())], names=["block_id", "bucket", "data"])
@@ -179,9 +203,9 @@ def repeated(blocks: DataFrame, hashes: Callable[[pa.Table], tuple[np.ndarray, n
     return met.groupBy("block_id").agg(F.collect_list(F.struct("bucket", "data")).alias("bits"))
 
 
-def marks(bits: list[dict] | None, starts: np.ndarray, n: int) -> np.ndarray:
+def marks(bits: list[dict] | None, starts: np.ndarray) -> np.ndarray:
     """The bits of repeated() as one array along the block's distinct hashes."""
-    out = np.zeros(n, bool)
+    out = np.zeros(starts[-1], bool)
     for x in bits or ():
         a, b = starts[x["bucket"]], starts[x["bucket"] + 1]
         out[a:b] = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=b - a).astype(bool)

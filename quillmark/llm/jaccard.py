@@ -9,8 +9,8 @@ bound the overlap of each pair from above, |A n B| <= |A| - popcount(a and not b
 intersected exactly.
 
 Only links between different components matter, so tiles are worked in rounds: first each class with
-the first class of its tiles that it shares most tiles with, then the pairs of still separate components with the
-best bounds, then all of those that the bounds leave. No pair of a tile is skipped unless its two classes are already connected or
+the first class of its tiles that it shares most tiles with, then for each still separate component its pairs
+of the best bounds, then all pairs that the bounds leave. No pair of a tile is skipped unless its two classes are already connected or
 the bound rules it out, so the components are exact. Tiles of more than ``TILE`` classes are split
 into pairs of chunks.
 
@@ -28,8 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
@@ -73,12 +72,16 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         own = np.array([B.rolling(h[begins[i] : begins[i + 1]], int(counts[i]), B.BASES[1])[0] for i in short], np.uint64)
         doc, values = np.concatenate([doc, short]), np.concatenate([values, own])
-    order = np.lexsort((values, doc))
-    doc, values = doc[order], values[order]
+    if len(short):
+        order = np.argsort(doc, kind="stable")
+        doc, values = doc[order], values[order]
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        values[a:b].sort()
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
-    doc, values = doc[new], values[new]
-    return values, np.searchsorted(doc, np.arange(len(texts) + 1))
+    new[1:] = values[1:] != values[:-1]
+    new[ends[ends < len(doc)]] = True
+    return values[new], np.concatenate([[0], np.cumsum(new)])[ends]
 
 
 def nodes_of(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -126,7 +129,7 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width_of(size: int) -> int:
-    return max(64, 1 << (4 * size - 1).bit_length())
+    return max(64, 1 << (8 * size - 1).bit_length())
 
 
 def fold(signature: np.ndarray, bits: int) -> np.ndarray:
@@ -161,38 +164,67 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return common.materialise(both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
 
 
+def _tile(t: dict[str, np.ndarray], sigs: list[bytes], num: int, den: int, quota: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one tile between different components that the bitmaps do not rule out; of each component
+    the ``quota`` best."""
+    node, comp, size, side = (t[c] for c in ("node", "comp", "size", "side"))
+    words = [np.frombuffer(x, "<u8") for x in sigs]
+    bits = min(len(w) for w in words) * 64
+    sig = np.stack([fold(w, bits) for w in words])
+    own = np.bitwise_count(sig).sum(1, dtype=np.int64)
+    rows, cols = np.flatnonzero(side <= side.min()), np.flatnonzero(side >= side.max())
+    found = []
+    step = max(1, (1 << 21) // max(1, sig.shape[1] * len(cols)))
+    for i in range(0, len(rows), step):
+        r = rows[i : i + step]
+        both = np.bitwise_count(sig[r][:, None] & sig[cols][None]).sum(2, dtype=np.int64)
+        most = np.minimum((size[r] - own[r])[:, None], (size[cols] - own[cols])[None]) + both
+        ok = linked(most, size[r][:, None], size[cols][None], num, den) & (comp[r][:, None] != comp[cols][None])
+        x, y = np.nonzero(ok)
+        found.append((r[x], cols[y], most[x, y] / (size[r][x] + size[cols][y])))
+    x, y, score = (np.concatenate(c) for c in zip(*found))
+    if quota is not None and len(x):
+        each = np.concatenate([comp[x], comp[y]])
+        order = np.lexsort((np.tile(-score, 2), each))
+        first = np.ones(len(order), bool)
+        first[1:] = each[order][1:] != each[order][:-1]
+        begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        keep = np.unique(order[np.arange(len(order)) - begin < quota] % len(x))
+        x, y = x[keep], y[keep]
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
 def _tile_pairs(num: int, den: int, quota: int | None):
-    """Pairs of a tile between different components that the bitmaps do not rule out; the best ``quota`` per two components."""
-
-    def work(t: pa.Table) -> pa.Table:
-        node, comp, size = (t.column(c).to_numpy() for c in ("node", "comp", "size"))
-        side = t.column("side").to_numpy()
-        sigs = [np.frombuffer(x, "<u8") for x in t.column("sig").to_pylist()]
-        bits = min(len(s) for s in sigs) * 64
-        sig = np.stack([fold(s, bits) for s in sigs])
-        own = np.bitwise_count(sig).sum(1).astype(np.int64)
-        rows = np.flatnonzero(side <= side.min())
-        cols = np.flatnonzero(side >= side.max())
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, (1 << 22) // max(1, sig.shape[1] * len(cols)))
-        for i in range(0, len(rows), step):
-            r = rows[i : i + step]
-            both = np.bitwise_count(sig[r][:, None] & sig[cols][None]).sum(2).astype(np.int64)
-            most = np.minimum(size[r][:, None] - (own[r][:, None] - both), size[cols][None] - (own[cols][None] - both))
-            ok = linked(most, size[r][:, None], size[cols][None], num, den) & (comp[r][:, None] != comp[cols][None])
-            x, y = np.nonzero(ok)
-            found.append((r[x], cols[y], most[x, y] / (size[r][x] + size[cols][y])))
-        x, y, score = (np.concatenate(c) for c in zip(*found))
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        ca, cb = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        if quota is not None and len(a):
-            order = np.lexsort((b, a, -score, cb, ca))
-            first = np.ones(len(order), bool)
-            first[1:] = (ca[order][1:] != ca[order][:-1]) | (cb[order][1:] != cb[order][:-1])
-            begin = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-            keep = order[np.arange(len(order)) - begin < quota]
-            a, b, ca, cb, score = a[keep], b[keep], ca[keep], cb[keep], score[keep]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "ca": pa.array(ca, pa.int64()), "cb": pa.array(cb, pa.int64()), "score": pa.array(score, pa.float64())})
+    """_tile() over rows that come sorted by tile; a tile is complete when the next one begins."""
+    keys, columns = ["key", "x", "y"], ["node", "comp", "size", "side"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cols = {c: table.column(c).to_numpy() for c in (*keys, *columns)}
+            sigs = table.column("sig").to_pylist()
+            cut = np.flatnonzero(np.any([cols[k][1:] != cols[k][:-1] for k in keys], axis=0)) + 1
+            out = []
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(sigs)]):
+                if b - a > 1 and (cols["comp"][a:b] != cols["comp"][a]).any():
+                    out.append(_tile({c: cols[c][a:b] for c in columns}, sigs[a:b], num, den, quota))
+            if out:
+                a, b = (np.concatenate(c) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [held.column(k)[-1].as_py() for k in keys]
+            same = np.all([held.column(k).to_numpy() == v for k, v in zip(keys, last)], axis=0)
+            at = int(np.argmax(same))
+            if at:
+                yield from solve(held.slice(0, at))
+                held = held.slice(at)
+        if held is not None:
+            yield from solve(held)
 
     return work
 
@@ -228,8 +260,8 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
                 keep[first] = True
                 on = np.repeat(keep, sizes)
                 keys, owner = part_keys(values[on], np.concatenate([[0], np.cumsum(sizes[keep])]), sized)
-                one, starts, index, times = B.distinct((keys, B.mix(keys ^ _NODE)), buckets)
-                hit = (B.marks(found, starts, len(one)) | (times > 1))[index] if len(one) else np.zeros(0, bool)
+                starts, index, times = B.occurrences((keys, B.mix(keys ^ _NODE)), buckets)
+                hit = (B.marks(found, starts) | (times > 1))[index]
                 # The block's first document of a class carries the class's keys and set.
                 own = np.flatnonzero(keep)[owner[hit]]
                 order = np.argsort(own, kind="stable")
@@ -270,23 +302,22 @@ def _links(all_docs: DataFrame, num: int, den: int) -> DataFrame:
     shared = tiles.filter("node <> lead").groupBy("node", "lead").count()
     first = shared.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("node").alias("b"))
     links = verify(first, sets, num, den)
-    for quota in (4, None):
+    for quota in (2, None):
         comp = components(links)
         joined = tiles.join(comp, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = joined.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        # Tiles of different components; of tiles with the same members, one.
+        mixed = joined.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("x <> y")
+        mixed = mixed.groupBy("m", "who").agg(F.min("key").alias("key")).select("key")
         rest = joined.join(mixed, "key").join(sets.select("node", "size", "sig"), "node")
         # A large tile is worked as pairs of its chunks.
         cut = F.ceil(F.col("n") / TILE)
         own = F.pmod(F.xxhash64("node"), cut)
         rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
         rest = rest.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other"))
-        rest = rest.withColumn("side", F.when(F.col("x") == F.col("y"), 0).when(F.col("own") == F.col("x"), 0).otherwise(1))
-        found = rest.select("key", "x", "y", "side", "node", "comp", "size", "sig").groupBy("key", "x", "y").applyInArrow(_tile_pairs(num, den, quota), "a long, b long, ca long, cb long, score double")
-        pairs = found.groupBy("a", "b", "ca", "cb").agg(F.max("score").alias("score"))
-        if quota is not None:
-            by = Window.partitionBy("ca", "cb").orderBy(F.desc("score"), "a", "b")
-            pairs = pairs.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= quota)
-        links = links.union(verify(pairs.select("a", "b"), sets, num, den))
+        rest = rest.withColumn("side", F.when(F.col("own") == F.col("x"), 0).otherwise(1))
+        rest = rest.select("key", "x", "y", "side", "node", "comp", "size", "sig").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        pairs = rest.mapInArrow(_tile_pairs(num, den, quota), "a long, b long").distinct()
+        links = links.union(verify(pairs, sets, num, den))
     return links
 
 

@@ -45,8 +45,8 @@ def covered(table: pa.Table, bits: list[dict] | None, width: int, text_col: str,
     """Words of each text and which of them a repeated window covers."""
     words, begins, at = _windows(B.texts(table, text_col), width)
     h = B.word_hashes([w for x in words for w in x])
-    one, starts, index, times = B.distinct(tuple(B.rolling(h, width, base)[at] for base in B.BASES), buckets)
-    repeat = (B.marks(bits, starts, len(one)) | (times > 1))[index] if len(one) else np.zeros(0, bool)
+    starts, index, times = B.occurrences(tuple(B.rolling(h, width, base)[at] for base in B.BASES), buckets)
+    repeat = (B.marks(bits, starts) | (times > 1))[index]
     edge = np.zeros(begins[-1] + 1, np.int64)
     hit = at[repeat]
     np.add.at(edge, hit, 1)

@@ -314,7 +314,7 @@ def blind_label_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 _AGREE = """count(*) AS pairs, count(*) FILTER (WHERE sign(human) = sign(judge)) AS exact_three_way, count(*) FILTER (WHERE judge <> 0) AS decisive,
- count(*) FILTER (WHERE judge <> 0 AND sign(human) = sign(judge)) AS decisive_agree, round(count(*) FILTER (WHERE judge <> 0 AND sign(human) = sign(judge)) / nullif(count(*) FILTER (WHERE judge <> 0), 0), 3) AS decisive_rate, round(corr(human, judge), 3) AS pearson FROM human"""
+ count(*) FILTER (WHERE judge <> 0 AND sign(human) = sign(judge)) AS decisive_agree, round(count(*) FILTER (WHERE judge <> 0 AND sign(human) = sign(judge)) / nullif(count(*) FILTER (WHERE judge <> 0), 0), 3) AS decisive_rate, round(CASE WHEN isnan(corr(human, judge)) THEN NULL ELSE corr(human, judge) END, 3) AS pearson FROM human"""
 
 
 @query(over("human", f"SELECT {_AGREE}"))

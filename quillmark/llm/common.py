@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,19 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Caches of this Python worker, by holder, and whose turn it is. Workers live on from stage to stage;
+#: a stage's cache makes room when another operator's stage runs in the same worker.
+_clear: dict[str, Callable[[], None]] = {}
+_turn: str | None = None
+
+
+def claim(holder: str, clear: Callable[[], None]) -> None:
+    global _turn
+    if _turn not in (None, holder):
+        _clear[_turn]()
+    _clear[holder], _turn = clear, holder
+
+
 def row_key(*cols: Column) -> list[Column]:
     """Two 64-bit keys of a row's content. Rows of equal content share a key, and so a result."""
     return [F.xxhash64(F.lit("quill"), *cols).alias("k1"), F.xxhash64(*cols, F.lit("mark")).alias("k2")]

@@ -38,7 +38,7 @@ TEXT_DIMS, META_DIMS = WORDS + 8, NAMES + 7
 
 class _Slots(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         s = self[word] = xxhash.xxh32_intdigest(word.lower()) % WORDS
         return s
@@ -48,6 +48,7 @@ _slots = _Slots()
 
 
 def text_view(texts: list[bytes]) -> np.ndarray:
+    common.claim("slots", _slots.clear)
     out = np.zeros((len(texts), TEXT_DIMS), np.float32)
     for i, t in enumerate(texts):
         words = t.split()

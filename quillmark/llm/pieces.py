@@ -64,7 +64,7 @@ class Vocabulary:
         self.sizes = np.array([len(self.text[i]) for i in self.live])
         self.live_ids = np.array(self.live)
         self.raw = [bytes([int(t[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> tuple[int, ...]:
         """The definition: join the adjacent pair of the best score, leftmost first, while any joins to a piece."""
@@ -81,11 +81,11 @@ class Vocabulary:
         return tuple(self.ids.get(x, -1) for x in s)
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 20 | b)
         if found is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merge(self.text[a] + self.text[b]) == (a, b)
+            found = self.pairs[a << 20 | b] = self.merge(self.text[a] + self.text[b]) == (a, b)
         return found
 
     def targets(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray], int]:
@@ -202,17 +202,18 @@ class PieceCoder:
             last[b] = -1
         for k in np.flatnonzero(codes == OTHER).tolist():
             last[k + 1], back[k + 1] = -1, k
-        for s, e, p in (x for i in range(0, edges.shape[1], EDGES) for x in zip(*edges[:, i : i + EDGES].tolist())):
-            before = last[s]
-            if before == -2 or last[e] >= 0:
-                continue
-            if before != -1:
-                ok = known((before, p))
-                if ok is None:
-                    ok = work(before, p)
-                if not ok:
+        for i in range(0, edges.shape[1], EDGES):
+            for s, e, p in zip(*edges[:, i : i + EDGES].tolist()):
+                before = last[s]
+                if before == -2 or last[e] >= 0:
                     continue
-            last[e], back[e] = p, s
+                if before != -1:
+                    ok = known(before << 20 | p)
+                    if ok is None:
+                        ok = work(before, p)
+                    if not ok:
+                        continue
+                last[e], back[e] = p, s
         for b, part in zip(begins.tolist(), parts):
             at, ids = b + len(part), []
             while at > b:
@@ -230,6 +231,7 @@ _coders: dict[str, PieceCoder] = {}
 
 
 def coder(path: str) -> PieceCoder:
+    common.claim("pieces", _coders.clear)
     if path not in _coders:
         _coders[path] = PieceCoder(path)
     return _coders[path]

@@ -12,6 +12,8 @@ import unicodedata
 
 import numpy as np
 
+from . import common
+
 #: Control characters that str.split() takes for white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 _TAIL = ".,!?;:"
@@ -20,20 +22,31 @@ _TAIL = ".,!?;:"
 class WordCoder:
     """encode(texts) gives, per text, its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that the tokenizer keeps whole, many to a call: each ends at its one end-of-word token."""
+        texts = [" ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)]
+        ids = np.array([x for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for x in e.ids], dtype="<u4")
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != len(pieces) or len(ids) and ends[-1] != len(ids):
+            return self._direct(pieces)
+        raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
     def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) + len(new) > self.max_words:
-            self.chunks.clear()
         if len(self.cores) > self.max_words:
             self.cores.clear()
         plain, other = {}, []
@@ -49,7 +62,7 @@ class WordCoder:
         need = {p for pair in plain.values() for p in pair if p} - self.cores.keys()
         if need:
             need = list(need)
-            self.cores.update(zip(need, self._direct(need)))
+            self.cores.update(zip(need, self._pieces(need)))
         self.cores[""] = b""
         for c, (low, tail) in plain.items():
             self.chunks[c] = self.cores[low] + self.cores[tail]
@@ -60,6 +73,9 @@ class WordCoder:
         out: list[bytes] = [b""] * len(texts)
         parts = [None if not t or _ODD.search(t) else t.split() for t in texts]
         new = set().union(*(p for p in parts if p)) - self.chunks.keys()
+        if len(self.chunks) + len(new) > self.max_words:
+            self.chunks.clear()
+            new = set().union(*(p for p in parts if p))
         if new:
             self._learn(new)
         get, missing = self.chunks.__getitem__, []
@@ -78,6 +94,7 @@ _coders: dict[str, WordCoder] = {}
 
 def coder(path: str) -> WordCoder:
     """One coder per Python worker, kept between tasks."""
+    common.claim("words of a tokenizer", _coders.clear)
     if path not in _coders:
         _coders[path] = WordCoder(path)
     return _coders[path]

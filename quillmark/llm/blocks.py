@@ -24,7 +24,7 @@ from . import common
 
 #: Input bytes (as stored) behind one bucket, and characters of text in one block.
 BUCKET_BYTES = 12 << 20
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 2 << 20
 
 
 def pack_blocks(docs: DataFrame, text_col: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -68,7 +68,7 @@ def texts(table: pa.Table, col: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, by their UTF-8; bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
@@ -83,6 +83,7 @@ _words = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    common.claim("words", _words.clear)
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

@@ -71,14 +71,15 @@ class LineRuns:
         return out.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
 
     def frequent(self, min_docs: int) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents of all batches so far."""
+        """Keys found in at least ``min_docs`` documents of all batches so far, as a run of their own: a
+        join with a plain table can be split where one key has many rows."""
         runs = [r for level in self.levels for r in level]
-        return self._sum(runs).filter(F.col("docs") >= min_docs).select("h1", "h2")
+        return self._write(self._sum(runs).filter(F.col("docs") >= min_docs)).select("h1", "h2")
 
 
 def dropped_lines(docs: DataFrame, frequent: DataFrame, text_col: str, min_chars: int) -> DataFrame:
     """(k1, k2, gone): for each document content that loses lines, their positions."""
-    lines = docs.select(*common.row_key(*(F.col(c) for c in docs.columns)), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
+    lines = docs.select(*common.row_key(*(F.col(f"`{c}`") for c in docs.columns)), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
     lines = lines.select("k1", "k2", "pos", _hashes(F.col("key")).alias("h")).select("k1", "k2", "pos", "h.h1", "h.h2")
     return lines.join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))

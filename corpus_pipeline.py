@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from quillmark.llm import common, cotraining, jaccard, line_runs, packing, substring
 from quillmark.llm.queries_models import fitted
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)

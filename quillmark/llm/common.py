@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -55,10 +56,19 @@ def release(spark: SparkSession) -> None:
         remove(spark, path)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, evaluates once."""
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished work now; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, evaluates once.
+    The shuffle files behind it are deleted, unless the caller says that they are ``small``."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    if not small:
+        free_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

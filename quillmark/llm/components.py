@@ -51,7 +51,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.n
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): comp is the smallest id reachable; nodes without edges are absent. ``edges``: a, b long."""
-    now = common.materialise(edges.select("a", "b").filter("a <> b").mapInArrow(_forest, "a long, b long"), "stars")
+    now = common.materialise(edges.select("a", "b").filter("a <> b").mapInArrow(_forest, "a long, b long"), "stars", small=True)
     before = None
     while True:
         # a > b from here on: b is a's smaller neighbour.
@@ -59,11 +59,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         pairs = down.join(least, "a")
         linked = pairs.select("a", F.col("m").alias("b")).union(pairs.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        linked = common.materialise(linked.distinct(), "stars")
+        linked = common.materialise(linked.distinct(), "stars", small=True)
         # Point every node at its parent's parent.
         up = linked.groupBy("a").agg(F.min("b").alias("p"))
         jump = linked.join(up.select(F.col("a").alias("b"), F.col("p").alias("q")), "b", "left")
-        new = common.materialise(jump.select("a", F.coalesce("q", "b").alias("b")).union(jump.filter("q is not null").select(F.col("b").alias("a"), F.col("q").alias("b"))).distinct(), "stars")
+        new = common.materialise(jump.select("a", F.coalesce("q", "b").alias("b")).union(jump.filter("q is not null").select(F.col("b").alias("a"), F.col("q").alias("b"))).distinct(), "stars", small=True)
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         common.drop_scratch(now, linked)
         now = new

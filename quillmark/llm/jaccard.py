@@ -285,19 +285,19 @@ def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
 
     all_docs = common.materialise(packed.join(bits, "block_id", "left").select("payload", "bits").mapInArrow(unfold, "doc_id long, n_shingles long, node long, keys array<long>, shingles binary, sig binary"), "sets")
     common.drop_scratch(packed)
-    links = _links(all_docs, num, den)
-    comp = components(links)
-    return _label(all_docs, comp)
+    named = common.materialise(all_docs.select("doc_id", "n_shingles", "node"), "named", small=True)
+    return _label(named, components(_links(all_docs, num, den)))
 
 
 def _links(all_docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes that connect all that is connected."""
+    """Links (a, b) between classes that connect all that is connected. Deletes the written table ``all_docs``."""
     held = all_docs.filter("keys is not null")
     members = held.select("node", F.explode("keys").alias("key")).distinct()
     many = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     tiles = common.materialise(members.join(many, "key"), "tiles")
     sets = held.select("node", F.col("n_shingles").alias("size"), "shingles", "sig").join(tiles.select("node").distinct(), "node", "left_semi")
     sets = common.materialise(sets.dropDuplicates(["node"]), "classes")
+    common.drop_scratch(all_docs)  # the classes hold what is still needed of it
 
     shared = tiles.filter("node <> lead").groupBy("node", "lead").count()
     first = shared.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("node").alias("b"))
@@ -325,5 +325,6 @@ def _label(all_docs: DataFrame, comp: DataFrame) -> DataFrame:
     """The smallest doc_id of each component, for each document."""
     named = all_docs.select("doc_id", "n_shingles", "node").join(comp, "node", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    least = named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    # Written first: a join with a plain table can be split where one component has many rows.
+    least = common.materialise(named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -86,7 +86,7 @@ def templates(rows: DataFrame, depth: int, fan: int) -> DataFrame:
         step = F.when(F.col("children").isNull(), segment).when(F.col("shapes") > fan, F.lit("*")).otherwise(_shape(segment))
         now = joined.withColumn("parent", F.when(deep, F.col("template")).otherwise(F.col("parent")))
         now = now.withColumn("template", F.when(deep, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))).drop("children", "shapes")
-        now = common.materialise(now, f"level{level}")
+        now = common.materialise(now, f"level{level}", small=True)
     return now
 
 

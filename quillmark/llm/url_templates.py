@@ -4,8 +4,10 @@ Per host, paths form a tree of segments. Level by level, a node with more than `
 children has a variable segment: its children become wildcards by shape (digits as ``#``), or ``*``
 where even the shapes are more than ``fan``. Segments beyond ``depth`` levels form one last segment.
 Sibling templates whose labelled shares do not differ significantly from their siblings' together are
-merged, so that they share evidence. A template is rejected if its purity, (bad + weight * prior) /
-(labelled + weight) with the labels' overall share as prior, reaches ``reject``.
+merged, so that they share evidence. A template without labels takes the evidence of the nearest node
+above it that has two or more labelled branches, all similar; one labelled branch alone says nothing of
+the others. A template is rejected if it has evidence and its purity, (bad + weight * prior) /
+(labelled + weight) with the labels' overall share as prior, reaches ``reject``; without, it is allowed.
 
 All steps are aggregations with map-side combine and joins by (host, template), which adaptive
 execution splits where one host holds much of the table. Only the prior, one row, comes to the driver.
@@ -90,6 +92,30 @@ def templates(rows: DataFrame, depth: int, fan: int) -> DataFrame:
     return now
 
 
+def _similar(least: int, z: float) -> Column:
+    """Whether a branch (known, bad) and the others of its family (all_known, all_bad) have evidence that does not differ."""
+    others, other_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
+    share = F.col("all_bad") / F.greatest("all_known", F.lit(1))
+    gap = F.abs(F.col("bad") / F.greatest("known", F.lit(1)) - other_bad / F.greatest(others, F.lit(1)))
+    noise = F.sqrt(share * (1 - share) * (1 / F.greatest("known", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
+    return (F.col("known") >= least) & (others >= least) & (gap <= z * noise)
+
+
+def _prefix(template: Column, level: int, depth: int) -> Column:
+    """The node ``level`` segments below the host; the last segment may hold slashes of its own."""
+    return template if level >= depth else F.substring_index(template, "/", level + 1)
+
+
+def _agreed(leaves: DataFrame, level: int, depth: int, least: int, z: float) -> DataFrame:
+    """The inner nodes of a level with two or more branches of evidence, all of them similar, and their evidence."""
+    at = leaves.select("host", _prefix(F.col("template"), level, depth).alias("node"), _prefix(F.col("template"), level + 1, depth).alias("below"), "known", "bad")
+    branches = at.groupBy("host", "node", "below").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad")).filter(F.col("known") > 0)
+    family = branches.groupBy("host", "node").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
+    held = branches.join(family, ["host", "node"]).groupBy(F.col("host").alias("a_host"), F.col("node").alias("a_node"))
+    agreed = held.agg(F.sum("known").alias("a_known"), F.sum("bad").alias("a_bad"), F.count(F.lit(1)).alias("branches"), F.every(_similar(least, z)).alias("alike"))
+    return agreed.filter((F.col("branches") > 1) & F.col("alike")).drop("branches", "alike")
+
+
 def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", depth: int = 4, fan: int = 16, weight: float = 10.0, reject: float = 0.8, least: int = 5, z: float = 1.96) -> DataFrame:
     """page id, host, path, rule, verdict, template, purity, one row per page.
 
@@ -112,20 +138,20 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None
     leaves = common.materialise(leaves, "templates")
     known, bad = leaves.agg(F.sum("known"), F.sum("bad")).first()
     prior = bad / known if known else 0.0
+    smooth = lambda b, n: (b + weight * prior) / (n + weight)
     # A branch joins its siblings if both have evidence and their shares do not differ significantly.
     family = leaves.groupBy("host", "parent").agg(F.sum("known").alias("all_known"), F.sum("bad").alias("all_bad"))
     leaves = leaves.join(family, ["host", "parent"])
-    others, other_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
-    share = F.col("all_bad") / F.greatest("all_known", F.lit(1))
-    gap = F.abs(F.col("bad") / F.greatest("known", F.lit(1)) - other_bad / F.greatest(others, F.lit(1)))
-    noise = F.sqrt(share * (1 - share) * (1 / F.greatest("known", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
-    similar = (F.col("known") >= least) & (others >= least) & (gap <= z * noise)
-    leaves = leaves.withColumn("branch", F.when(similar, F.lit(None).cast("string")).otherwise(F.col("template")))
+    leaves = leaves.withColumn("branch", F.when(_similar(least, z), F.lit(None).cast("string")).otherwise(F.col("template")))
     pooled = leaves.groupBy("host", "parent", "branch").agg(F.sum("known").alias("p_known"), F.sum("bad").alias("p_bad"))
-    pooled = pooled.withColumn("purity", (F.col("p_bad") + weight * prior) / (F.col("p_known") + weight))
     l, p = leaves.alias("l"), pooled.alias("p")
     same = (F.col("l.host") == F.col("p.host")) & (F.col("l.parent") == F.col("p.parent")) & F.col("l.branch").eqNullSafe(F.col("p.branch"))
-    judged = l.join(p, same).select("l.host", "l.parent", "l.template", "p.purity")
+    judged = l.join(p, same).select("l.host", "l.parent", "l.template", "p.p_known", "p.p_bad")
+    for level in reversed(range(depth)):
+        judged = judged.join(_agreed(leaves, level, depth, least, z), (judged.host == F.col("a_host")) & (_prefix(F.col("template"), level, depth) == F.col("a_node")), "left")
+        take = (F.col("p_known") == 0) & F.col("a_known").isNotNull()
+        judged = judged.select("host", "parent", "template", F.when(take, F.col("a_known")).otherwise(F.col("p_known")).alias("p_known"), F.when(take, F.col("a_bad")).otherwise(F.col("p_bad")).alias("p_bad"))
+    judged = judged.withColumn("purity", smooth(F.col("p_bad"), F.col("p_known")))
     out = rows.join(judged, ["host", "parent", "template"])
-    final = F.coalesce("ruled", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    final = F.coalesce("ruled", F.when((F.col("p_known") > 0) & (F.col("purity") >= reject), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", final.alias("verdict"), "template", "purity")

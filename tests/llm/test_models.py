@@ -71,6 +71,19 @@ def test_templates_generalise_and_purity_decides(spark):
     assert got[1299].verdict == "allow" and got[1350].verdict == "allow"
 
 
+def test_templates_without_labels(spark):
+    """No evidence never rejects, however high the prior; agreeing branches speak for those without labels."""
+    rules = [Rule("block", "s.test", "/a/x/"), Rule("block", "s.test", "/a/y/"), Rule("allow", "u.test", "/a/x/"), Rule("block", "u.test", "/a/y/")]
+    urls = [f"http://s.test/a/{b}/{i}" for b in "xyz" for i in range(40)] + ["http://s.test/b/1", "http://t.test/a/z/1"]
+    urls += [f"http://u.test/a/{b}/{i}" for b in "xyz" for i in range(6)]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r for r in url_templates.judge(rows, rules).collect()}
+    assert len(got) == len(urls)
+    assert all(got[f"http://s.test/a/z/{i}"].verdict == "block" and got[f"http://s.test/a/z/{i}"].rule is None for i in range(40))
+    assert got["http://t.test/a/z/1"].purity >= 0.8
+    assert {got[u].verdict for u in ("http://s.test/b/1", "http://t.test/a/z/1", "http://u.test/a/z/1")} == {"allow"}
+
+
 PIECE_TEXTS = [None, "", " ", "\n", "  a  b\n\tc é", "<s> hi </s> <0x0A> <unk>", "漢字 かな 😀 \U0001f468", "Hello World, it's 12345 don't   indented      here", "x" * 300, "аб вгд ελλην", "a\x00b\xa0c　d", "====== //// oooo    ", "tab\t\tend\n\n\n"]
 
 

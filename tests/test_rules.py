@@ -1,6 +1,7 @@
 """Rule engine, protocol and strict parsing, case by case."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,19 @@ def test_exact_tests(spark):
     assert [p(19, 13), p(10, 2), p(23, 9), p(0, 0), p(5, 5)] == [0.3771, 0.0386, 0.0201, 1.0, 1.0]
 
 
+def test_exact_tests_of_large_counts(spark):
+    def brute(w, l):  # noqa: E741
+        n = w + l
+        return min(1.0, 2 * math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(min(w, l) + 1)))
+
+    p = lambda w, l: one(spark, stats.binomial_two_sided(F.lit(w).cast("long"), F.lit(l).cast("long")))[0]  # noqa: E731,E741
+    for w, l in [(3409, 571), (2000, 1980), (2100, 1900), (50_000, 50_600), (100, 3)]:  # noqa: E741
+        assert p(w, l) == pytest.approx(brute(w, l), rel=1e-5, abs=1e-12)
+    # More terms than an array holds; by the normal distribution.
+    w, l = 3_000_000_000, 3_000_100_000  # noqa: E741
+    assert p(w, l) == pytest.approx(math.erfc((l - w - 1) / math.sqrt(2 * (w + l))), rel=1e-3)
+
+
 def test_provider_text(spark):
     body = json.dumps({"output": [{"type": "reasoning"}, {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "a"}, {"type": "output_text", "text": "b"}]}]})
     chat = json.dumps({"choices": [{"message": {"content": "c"}}]})

@@ -5,8 +5,8 @@ transform); the signed axis nearest to the result is the bucket. Every vector go
 each table. A query probes, in each table, the buckets of its nearest signed axes in order, and every
 row found there is ranked by its exact cosine on the original vectors. Rows are never dropped: a
 bucket larger than twice the mean is split into chunks by id, and the query visits all of them.
-With more than ``grow`` rows per bucket a second rotation refines each bucket, and probes go to the
-pairs of axes with the largest product.
+Queries whose probes hold fewer than k other rows, though the table has more, then visit every bucket
+of one table, in blocks of queries; for them the result is exact.
 
 Zero vectors take no part, besides what vectors.clean() says. Scores that tie within rounding are computed once more in
 one fixed order of summation, so equal vectors have equal scores.
@@ -25,6 +25,8 @@ from . import common
 from . import vectors as V
 
 TABLES, PROBES, SEED = 4, 24, 7
+#: Queries of a block that visits all buckets.
+BLOCK = 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,8 +64,7 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine; ``query`` is a condition on ``id``.
 
-    Where a query's probes hold fewer than k rows, the result would be short; since small tables
-    would show that, all buckets are probed there: with at most ``2 * probes * k`` rows in all.
+    Every query has k rows, or all others where the table has fewer.
     """
     spark = table.sparkSession
     common.arrow_rows(spark, 4096)
@@ -74,8 +75,6 @@ def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, pr
     rows = common.materialise(rows.withColumn("is_query", query), "vectors")
     wide = 1 << max(1, (dims - 1).bit_length())
     n = rows.count()
-    if n <= 2 * probes * k:
-        probes = 2 * wide
     probes = min(probes, 2 * wide)
     signs = np.random.default_rng(SEED).choice([-1.0, 1.0], (tables, 3, wide))
 
@@ -127,5 +126,20 @@ def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, pr
 
     keys = ["tab", "bucket", "part"]
     names = [*keys, "id", "v"]
+    found_schema = "query_id long, vec_id long, score double"
     met = asked.select(names).groupBy(keys).cogroup(data.select(names).groupBy(keys))
-    return V.merge(met.applyInArrow(rank, "query_id long, vec_id long, score double"), k)
+    found = common.materialise(V.merge(met.applyInArrow(rank, found_schema), k), "found")
+    held = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("held"))
+    short = rows.filter("is_query").select("id", "v").join(held, "id", "left").filter(F.coalesce("held", F.lit(0)) < min(k, n - 1))
+    short = common.materialise(short.select("id", "v"), "short", small=True)
+    blocks = -(-short.count() // BLOCK)
+    if not blocks:
+        return found
+    # Each row is in one bucket of table 0: all of them hold the whole table once.
+    whole = data.filter("tab = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = F.broadcast(parts.filter("tab = 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"))
+    left = short.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).crossJoin(every)
+    keys, names = [*keys, "block"], [*names, "block"]
+    met = left.select(names).groupBy(keys).cogroup(whole.select(names).groupBy(keys))
+    rest = V.merge(met.applyInArrow(rank, found_schema), k)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)

@@ -88,3 +88,21 @@ def test_cross_polytope_small_and_odd_tables(spark):
     assert crosspoly.search(spark.createDataFrame(odd, SCHEMA), F.col("id") % 10 == 0).count() == 0
     few = crosspoly.search(spark.createDataFrame(rows(x)[:3], SCHEMA), F.col("id") == 0).collect()
     assert len(few) == 2
+
+
+@pytest.mark.parametrize("n", [60, 241, 1000])
+def test_cross_polytope_finds_k_for_every_query(spark, n, monkeypatch):
+    """A tight cone and two rows opposite to it: their probes hold almost nothing."""
+    monkeypatch.setattr(crosspoly, "BLOCK", 1)
+    rng = np.random.default_rng(1)
+    axis = rng.normal(size=64)
+    x = axis + 0.01 * rng.normal(size=(n, 64))
+    x[[0, 7]] = -x[[0, 7]]
+    x = x.astype(np.float32)
+    got = {}
+    for r in crosspoly.search(spark.createDataFrame(rows(x), SCHEMA), F.col("id").isin(0, 7, 10)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: [r for r, _, _ in sorted(v)] for q, v in got.items()} == {q: [1, 2, 3, 4, 5] for q in (0, 7, 10)}
+    want = brute_cosine(x, 1, 5)
+    for q in (0, 7):
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want[q]]

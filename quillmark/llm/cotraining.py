@@ -6,8 +6,10 @@ language, length, and layout (lines, blank lines, line lengths). Each view's log
 fitted on labelled rows; then, round by round, each labels the unlabelled rows it is most confident of
 for the other. Both are calibrated on labelled rows held out, combined by a third fit on them, and score every document.
 
-Fitting uses a sample bounded by ``labelled`` and ``unlabelled`` (rows of the smallest id hashes, whole texts);
-only features of those rows, never texts, come to the driver. Scoring covers all rows in one pass over the table.
+Labelled rows are a sample bounded by ``labelled`` (smallest id hashes, whole texts). In each round all unlabelled
+rows are scored, and the surest of each view, at most a tenth of ``unlabelled``, are fitted on. Only features of
+fitted rows, never texts, come to the driver. Scoring covers all rows in one pass over the table. Where the held-out
+rows, or the others, lack a kind, all labelled rows serve as both.
 
 Defined results: a null or empty text has no words and scores by what remains; null source, language
 or labels count as a value of their own, and rows with a null label or doc_id are not fitted on;
@@ -17,7 +19,7 @@ without labelled rows of both kinds every score is 1; a doc_id labelled twice co
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,8 @@ WORDS, NAMES = 4096, 256
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'-_")
 _UPPER, _SMALL = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
 TEXT_DIMS, META_DIMS = WORDS + 8, NAMES + 7
+#: Confident alone: scores further than this from an even chance.
+SURE = 0.45
 
 
 class _Slots(dict):
@@ -113,30 +117,25 @@ class Model:
         return share(a), share(b), share(logit(np.stack([a, b], 1), self.both))
 
 
-def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray, rounds: int = 3, share_kept: float = 0.995, decay: float = 1e-5) -> Model:
-    """Fit on labelled features (t, m, y: 1 is good) and unlabelled ones (ut, um)."""
+def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, surest: Callable, rounds: int = 3, share_kept: float = 0.995, decay: float = 1e-5) -> Model:
+    """Fit on labelled features (t, m, y: 1 is good) and on those that ``surest`` (text and meta weights) gives for
+    each view in turn: (t, m) of the unlabelled rows it is most confident of."""
     held = np.arange(len(y)) % 4 == 0
-    lt, lm, ly = t[~held], m[~held], y[~held]
-    views, told = [lt, lm], [ly, ly]
-    weights = [np.ones(len(ly)), np.ones(len(ly))]
-    pool = np.arange(len(ut))
+    used = ~held
+    if min(len(np.unique(y[held] > 0.5)), len(np.unique(y[used] > 0.5))) < 2:
+        held = used = np.ones(len(y), bool)
+    views, told = [t[used], m[used]], [y[used], y[used]]
+    weights = [np.ones(used.sum()), np.ones(used.sum())]
     for r in range(rounds + 1):
         wt, wm = fit(views[0], told[0], weights[0], decay), fit(views[1], told[1], weights[1], decay)
-        if r == rounds or not len(pool):
+        if r == rounds:
             break
-        taken = np.zeros(len(pool), bool)
-        for mine, w, other in ((0, wt, 1), (1, wm, 0)):
-            p = share(logit((ut if mine == 0 else um)[pool], w))
-            # Confident alone: beyond 0.95 either way, at most a tenth of the pool a round, the surest first.
-            sure = np.abs(p - 0.5)
-            pick = np.argsort(-sure, kind="stable")[: max(1, len(pool) // 10)]
-            pick = pick[sure[pick] > 0.45]
-            add = (ut if other == 0 else um)[pool[pick]]
-            views[other] = np.vstack([views[other], add])
-            told[other] = np.concatenate([told[other], (p[pick] > 0.5).astype(float)])
-            weights[other] = np.concatenate([weights[other], np.full(len(pick), 0.3)])
-            taken[pick] = True
-        pool = pool[~taken]
+        for mine, found in enumerate(surest(wt, wm)):
+            p = share(logit(found[mine], (wt, wm)[mine]))
+            sure = np.abs(p - 0.5) > SURE
+            views[1 - mine] = np.vstack([views[1 - mine], found[1 - mine][sure]])
+            told[1 - mine] = np.concatenate([told[1 - mine], (p[sure] > 0.5).astype(float)])
+            weights[1 - mine] = np.concatenate([weights[1 - mine], np.full(sure.sum(), 0.3)])
     ht, hm, hy = t[held], m[held], y[held]
     one = np.ones(len(hy))
     a, b = logit(ht, wt), logit(hm, wm)
@@ -175,25 +174,59 @@ def _dense(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t, m, np.array([r.y if r.y is not None else np.nan for r in rows])
 
 
+def surest(docs: DataFrame, told: DataFrame, wt: np.ndarray, wm: np.ndarray, taken: set[int], most: int) -> list[list[int]]:
+    """Ids of the unlabelled rows, of all in ``docs``, that each view is most confident of; ties by hash of the id."""
+    common.arrow_rows(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast((wt, wm))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                texts = [x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]
+                views = text_view(texts), meta_view(texts, *(b.column(k).to_pylist() for k in (1, 2, 3)))
+                sure = [np.abs(share(logit(x, w)) - 0.5).astype(float) for x, w in zip(views, held.value)]
+                yield pa.RecordBatch.from_arrays([b.column(4), *map(pa.array, sure)], names=["doc_id", "s0", "s1"])
+
+    rows = docs.filter("doc_id is not null").select("text", "source", "lang", "n_chars", F.col("doc_id").cast("long").alias("doc_id"))
+    sure = rows.mapInArrow(work, "doc_id long, s0 double, s1 double").filter((F.col("s0") > SURE) | (F.col("s1") > SURE))
+    sure = common.materialise(sure.join(told.select("doc_id"), "doc_id", "left_anti"), "sure", small=True)
+    out = []
+    for s in ("s0", "s1"):
+        best = sure.filter(F.col(s) > SURE).filter(~F.col("doc_id").isin(*taken) if taken else F.lit(True))
+        out.append([r.doc_id for r in best.groupBy("doc_id").agg(F.max(s).alias(s)).orderBy(F.desc(s), F.xxhash64("doc_id")).limit(most).collect()])
+    common.drop_scratch(sure)
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled: int = 2400, unlabelled: int = 1600, rounds: int = 3) -> Model | None:
-    """Fit on at most ``labelled`` labelled and ``unlabelled`` other documents, chosen by hash of their id."""
+    """Fit on at most ``labelled`` labelled documents, chosen by hash of their id, and in each round on at most a
+    tenth of ``unlabelled`` more for each view, the surest of all unlabelled documents."""
     told = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("double")).alias("y"))
     ids = docs.select("doc_id").filter("doc_id is not null")
     pick = told.join(ids, "doc_id", "left_semi").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
     # Half of the labelled sample for either label, as far as there are rows.
     part = pick.filter("y > 0.5").orderBy("h").limit(labelled // 2).union(pick.filter("y <= 0.5").orderBy("h").limit(labelled // 2))
-    free = ids.distinct().join(told, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("double").alias("y"), F.xxhash64("doc_id").alias("h"))
-    # The ids of the sample are bounded by its parameters, so they are broadcast.
-    sample = part.union(free.orderBy("h").limit(unlabelled)).select("doc_id", "y")
-    rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-    found = _features(rows.select("text", "source", "lang", "n_chars", "y")).collect()
-    found.sort(key=lambda r: xxhash.xxh64_intdigest(r.t + r.m))
-    t, m, y = _dense(found)
-    known = ~np.isnan(y)
-    kinds = [int((y[known] > 0.5).sum()), int((y[known] <= 0.5).sum())]
-    if min(kinds) < 8:
+
+    def features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # The ids of a sample are bounded by the parameters, so they are broadcast.
+        rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+        found = _features(rows.select("text", "source", "lang", "n_chars", "y")).collect()
+        found.sort(key=lambda r: xxhash.xxh64_intdigest(r.t + r.m))
+        return _dense(found)
+
+    t, m, y = features(part.select("doc_id", "y"))
+    if len(np.unique(y > 0.5)) < 2:
         return None
-    return cotrain(t[known], m[known], y[known], t[~known], m[~known], rounds)
+    taken: set[int] = set()
+
+    def more(wt: np.ndarray, wm: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = surest(docs, told, wt, wm, taken, max(1, unlabelled // 10))
+        taken.update(*found)
+        spark = docs.sparkSession
+        return [features(spark.createDataFrame([(i, None) for i in ids], "doc_id long, y double"))[:2] for ids in found]
+
+    return cotrain(t, m, y, more, rounds)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

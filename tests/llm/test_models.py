@@ -137,6 +137,33 @@ def test_cotraining_without_labels_keeps_all(spark):
     assert model is None and cotraining.score(docs.drop("keep"), model).filter("keep").count() == len(rows)
 
 
+def test_pseudo_labels_come_from_all_unlabelled_rows(spark):
+    docs, labels, rows = labelled(spark)
+    docs = docs.drop("keep")
+    told = labels.filter("doc_id is not null and good is not null")
+    rng = np.random.default_rng(2)
+    wt, wm = 3 * rng.normal(size=cotraining.TEXT_DIMS + 1), 3 * rng.normal(size=cotraining.META_DIMS + 1)
+    free = [r for r in rows if r[0] is not None and not (r[0] < 400 and r[0] % 2)]
+    texts = [(r[1] or "").encode() for r in free]
+    views = cotraining.text_view(texts), cotraining.meta_view(texts, [r[3] for r in free], [r[2] for r in free], [r[4] for r in free])
+    for taken in (set(), {0, 2, 4}):
+        got = cotraining.surest(docs, told, wt, wm, taken, 20)
+        for ids, x, w in zip(got, views, (wt, wm)):
+            sure = np.abs(cotraining.share(cotraining.logit(x, w)) - 0.5)
+            best = sorted((s for s, r in zip(sure, free) if s > cotraining.SURE and r[0] not in taken), reverse=True)[:20]
+            at = {r[0]: s for s, r in zip(sure, free)}
+            assert [at[i] for i in ids] == pytest.approx(best) and not taken & set(ids)
+
+
+def test_cotraining_with_few_labels(spark):
+    docs, labels, rows = labelled(spark)
+    few = labels.filter("doc_id < 15")
+    model = cotraining.train(docs.drop("keep"), few)
+    assert model is not None and len({r.good for r in few.collect()} - {None}) == 2
+    got = {r.doc_id: r.keep for r in cotraining.score(docs.drop("keep"), model).collect()}
+    assert sum(got[i] == t.endswith("!!") for i, t, *_ in rows[:400]) <= 20
+
+
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

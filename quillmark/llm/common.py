@@ -6,8 +6,11 @@ import gc
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +94,48 @@ def power_of_two(x: float, least: int) -> int:
     return max(least, 1 << max(0, math.ceil(math.log2(max(x, 1)))))
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that batches of very long texts stay small."""
+def arrow_rows(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that batches of very long texts stay small. Spark reads
+    these settings when a plan runs, after the caller has it, so they stay set for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def objects(a: pa.Array) -> list:
+    """to_pylist() without a scalar object for each value."""
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+def buffers(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of a large binary array."""
+    if not len(a):
+        return np.zeros(1, np.int64), np.empty(0, np.uint8)
+    ends = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, 8 * a.offset)
+    return ends - ends[0], np.frombuffer(a.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+#: Bytes of text that a worker takes at a time.
+SLICE = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``size`` bytes of text (a longer text is a batch alone)."""
+    held, n = [], 0
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(cut, cut[at] + size - n, side="right")) - 1) if not held or cut[at + 1] - cut[at] + n <= size else at
+            if to > at:
+                held.append(b.slice(at, to - at))
+                n += int(cut[to] - cut[at])
+            if to < b.num_rows or n >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+            at = to
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 #: Caches of this Python worker, by holder, and whose turn it is. Workers live on from stage to stage;
@@ -109,6 +151,38 @@ def claim(holder: str, clear: Callable[[], None]) -> None:
     _clear[holder], _turn = clear, holder
 
 
+class Known:
+    """A cache of at most about ``most`` entries, emptied when it is full."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, {}
+
+    def find(self, keys: list, learn: Callable[[list], list]) -> list:
+        """The value of each of the distinct ``keys``; those of unknown ones come from ``learn``."""
+        found = list(map(self.held.get, keys))
+        if None in found:
+            lost = [i for i, x in enumerate(found) if x is None]
+            new = [keys[i] for i in lost]
+            told = learn(new)
+            if len(self.held) + len(new) > self.most:
+                self.held.clear()
+            self.held.update(zip(new[: self.most], told))
+            for i, x in zip(lost, told):
+                found[i] = x
+        return found
+
+
+def free(new: tuple[str, ...], taken: list[str]) -> list[str]:
+    """The names ``new``, each with underscores behind it while ``taken`` has it (in whatever case)."""
+    out, held = [], {c.lower() for c in taken}
+    for n in new:
+        while n.lower() in held:
+            n += "_"
+        out.append(n)
+        held.add(n.lower())
+    return out
+
+
 def row_key(*cols: Column) -> list[Column]:
     """Two 64-bit keys of a row's content. Rows of equal content share a key, and so a result."""
     return [F.xxhash64(F.lit("quill"), *cols).alias("k1"), F.xxhash64(*cols, F.lit("mark")).alias("k2")]

@@ -92,10 +92,10 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, ranks, wide = coder(tokenizer), TaskContext.get().partitionId(), {}, 4 * capacity
-        for b in batches:
-            rows = []
-            for doc, x in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist())):
-                x += tail
+        for b in common.slices(batches, 1):
+            rows, (ids, ends) = [], words.encode_column(b.column(1))
+            for doc, since, to in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                x = ids[since:to].tobytes() + tail
                 for k, at in enumerate(range(0, len(x), wide)):
                     part = x[at : at + wide]
                     n = len(part) // 4

@@ -118,7 +118,7 @@ def test_line_dedup_cases(spark):
 def test_a_small_word_cache_gives_the_same_ids():
     from quillmark.llm.wordcoder import WordCoder
 
-    small, whole = WordCoder(PATH, max_words=7), Tokenizer.from_file(PATH)
+    small, whole = WordCoder(PATH, words=7), Tokenizer.from_file(PATH)
     for k in range(4):
         texts = [f"w{k}a common words, here x{i} y{i % 3}" for i in range(6)]
         assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

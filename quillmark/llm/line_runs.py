@@ -2,16 +2,19 @@
 
 A line's key is the line stripped of blanks at both ends and lower-cased (A-Z). ``LineRuns`` keeps, per
 key hash, the number of documents that hold the key, as runs: tables sorted by hash in the shared
-folder. A batch of documents is reduced to one run and added at level 0; when a level holds
-``fanout`` runs they are merged into one run of the next level, so a key is rewritten a logarithmic
-number of times. A batch's lines are anti-joined with the runs to tell what stays.
+folder. Each batch of documents is counted by key and merge-anti-joined with the keys that the runs
+already hold often enough; only what is left becomes a new run at level 0, so a line that every document
+shares is written a few times and then no more. When a level holds ``fanout`` runs they are merged into
+one run of the next level, so a key is rewritten a logarithmic number of times.
 
-A hash is two 64-bit hashes of the key. Counting combines in the map tasks before the shuffle, so a
-line that a third of all documents share arrives once per task.
+A key is dropped by how often the whole corpus holds it, so documents are judged when all batches are in:
+their line hashes, made once and written, are joined with the frequent keys. A hash is two 64-bit hashes
+of the key. Counting combines in the map tasks before the shuffle, so a line that a third of all documents
+share arrives once per task.
 
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` code points are never counted or
 dropped; a document that repeats a key counts once; repeated rows count as documents of their own and
-get equal results; an empty table gives no rows; columns beside id and text are carried unread.
+get equal results; an empty table gives no rows; columns beside the text are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,28 +33,34 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashes(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+def _hashes(key: Column, min_chars: int) -> Column:
+    """Two hashes of a key; null for a key that is too short."""
+    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")))
 
 
-def document_keys(docs: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """(h1, h2) once for each document that holds the key."""
-    keys = F.array_distinct(F.transform(split_lines(F.col(text_col)), line_key))
-    return docs.select(F.explode(F.transform(F.filter(keys, lambda k: F.length(k) >= min_chars), _hashes)).alias("h")).select("h.h1", "h.h2")
+def hashed_lines(docs: DataFrame, text_col: str, min_chars: int, batches: int) -> DataFrame:
+    """(k1, k2, batch, hashes): per row of ``docs`` its key, its batch by content, and its lines' hashes in order."""
+    text = F.col(f"`{text_col}`")
+    hashes = F.transform(split_lines(text), lambda x: _hashes(line_key(x), min_chars))
+    return docs.select(*common.row_key(*(F.col(f"`{c}`") for c in docs.columns)), F.pmod(F.xxhash64(F.lit("batch"), text), F.lit(batches)).cast("int").alias("batch"), hashes.alias("hashes"))
 
 
 class LineRuns:
     """Levelled sorted runs of (h1, h2, docs) below one folder of the shared store."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
+        self.spark, self.min_docs, self.fanout, self.levels = spark, min_docs, fanout, [[]]
 
     def _write(self, counts: DataFrame) -> DataFrame:
-        return common.materialise(counts.sortWithinPartitions("h1", "h2"), "run")
+        return common.materialise(counts.sortWithinPartitions("h1", "h2"), "run", small=True)
 
     def add(self, keys: DataFrame) -> None:
-        """Add a batch given as document_keys()."""
-        self.levels[0].append(self._write(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"))))
+        """Add a batch: (h1, h2) once for each of its documents that holds the key. Keys that are frequent already
+        stay out of the new run."""
+        counts = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
+        if any(self.levels):
+            counts = counts.join(self._frequent().hint("merge"), ["h1", "h2"], "left_anti")
+        self.levels[0].append(self._write(counts))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self._merge(level)
@@ -70,40 +79,54 @@ class LineRuns:
             out = out.unionByName(r)
         return out.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
 
-    def frequent(self, min_docs: int) -> DataFrame:
+    def _frequent(self) -> DataFrame:
+        return self._sum([r for level in self.levels for r in level]).filter(F.col("docs") >= self.min_docs).select("h1", "h2")
+
+    def frequent(self) -> DataFrame:
         """Keys found in at least ``min_docs`` documents of all batches so far, as a run of their own: a
         join with a plain table can be split where one key has many rows."""
-        runs = [r for level in self.levels for r in level]
-        return self._write(self._sum(runs).filter(F.col("docs") >= min_docs)).select("h1", "h2")
+        return self._write(self._frequent())
+
+
+def count_lines(hashed: DataFrame, min_docs: int, batches: int, fanout: int) -> LineRuns:
+    """Runs of all batches of hashed_lines()."""
+    runs = LineRuns(hashed.sparkSession, min_docs, fanout)
+    for b in range(batches):
+        own = hashed.filter(F.col("batch") == b).select(F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h"))
+        runs.add(own.select("h.h1", "h.h2"))
+    return runs
+
 
+def kept_text(text: Column, gone: Column) -> Column:
+    """The lines of ``text`` that stay, joined by newline: what lies between neighbours of the sorted positions ``gone``
+    (null: nothing goes) is copied slice by slice. Lines and positions are worked out once per row, as a lambda's argument."""
 
-def dropped_lines(docs: DataFrame, frequent: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    """(k1, k2, gone): for each document content that loses lines, their positions."""
-    lines = docs.select(*common.row_key(*(F.col(f"`{c}`") for c in docs.columns)), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
-    lines = lines.withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
-    lines = lines.select("k1", "k2", "pos", _hashes(F.col("key")).alias("h")).select("k1", "k2", "pos", "h.h1", "h.h2")
-    return lines.join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    def stay(x: Column) -> Column:
+        lines, g = x["lines"], x["gone"]
+        between = F.transform(F.sequence(F.lit(0), F.size(g) - 2), lambda i: F.slice(lines, F.get(g, i) + 2, F.get(g, i + 1) - F.get(g, i) - 1))
+        return F.array_join(F.flatten(between), "\n")
+
+    lines = split_lines(text)
+    edges = F.concat(F.array(F.lit(-1)), F.sort_array(gone), F.array(F.size(lines)))
+    return F.when(gone.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.get(F.transform(F.array(F.struct(lines.alias("lines"), edges.alias("gone"))), stay), F.lit(0)))
 
 
 def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, text_col: str = "text") -> DataFrame:
-    """``docs`` with lines (array of all lines) and gone (positions dropped; null if none).
+    """``docs`` and, as the last three columns, n_lines, n_dropped and kept (the text without dropped lines). Where
+    ``docs`` has such a name, the new column's gets underscores behind it.
 
-    The corpus enters the runs in ``batches`` parts dealt by content hash; the anti-join then judges
-    every document against all of them. Only hashes and positions are shuffled for the anti-join,
-    then each document once.
+    Only hashes and positions are shuffled to tell what goes, then each document once.
     """
-    runs = LineRuns(docs.sparkSession, fanout)
-    deal = F.pmod(F.xxhash64(F.lit("batch"), F.col(text_col)), F.lit(batches))
-    for b in range(batches):
-        runs.add(document_keys(docs.select(text_col).filter(deal == b), text_col, min_chars))
-    keyed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    gone = dropped_lines(docs, runs.frequent(min_docs), text_col, min_chars)
-    rows = docs.select(keyed, *common.row_key(*(F.col(f"`{c}`") for c in docs.columns)))
+    hashed = common.materialise(hashed_lines(docs, text_col, min_chars, batches), "lines", small=True)
+    frequent = count_lines(hashed, min_docs, batches, fanout).frequent()
+    lines = hashed.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).select("k1", "k2", "pos", "h.h1", "h.h2").filter("h1 is not null")
+    gone = lines.join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = F.col(inner.columns[names.index(text_col)])
+    # The key names the row by its own columns' content, in order.
+    rows = inner.select(*inner.columns, *common.row_key(*(F.col(c) for c in inner.columns)))
     out = rows.join(gone, ["k1", "k2"], "left")
-    return out.select("doc.*", split_lines(F.col(f"doc.`{text_col}`")).alias("_lines"), F.col("gone").alias("_gone"))
-
-
-def kept_text() -> Column:
-    """The lines that stay, joined by newline, from the columns of dedup()."""
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    return F.array_join(F.filter(F.col("_lines"), lambda line, i: ~F.array_contains(gone, i)), "\n")
+    n_lines = F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    out = out.select(*inner.columns, n_lines.cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long"), kept_text(text, F.col("gone")))
+    return out.toDF(*names, *common.free(("n_lines", "n_dropped", "kept"), names))

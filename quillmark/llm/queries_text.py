@@ -33,12 +33,7 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drops every line whose key at least 10 documents hold."""
     out = line_runs.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(
-        "doc_id",
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(line_runs.kept_text().cast("binary"), 256).alias("kept_sha256"),
-    )
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

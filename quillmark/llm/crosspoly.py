@@ -1,12 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Unit vectors are turned by fast pseudo-random rotations (three rounds of random signs and a Hadamard
-transform); the signed axis nearest to the result is the bucket. Every vector goes into one bucket of
-each table. A query probes, in each table, the buckets of its nearest signed axes in order, and every
-row found there is ranked by its exact cosine on the original vectors. Rows are never dropped: a
-bucket larger than twice the mean is split into chunks by id, and the query visits all of them.
-Queries whose probes hold fewer than k other rows, though the table has more, then visit every bucket
-of one table, in blocks of queries; for them the result is exact.
+transform); the signed axis nearest to the result is a hash. Two rotations make a table's code, one of
+(2 * width) ** 2 buckets, and every vector has one code in each table. A query probes, in each table, the
+codes whose two axes lie nearest to it in sum, and every row found there is ranked by its exact cosine on
+the original vectors.
+
+Codes in order are packed into units of at most ``UNIT`` rows; a bucket of more is a unit of its own, dealt by
+id into parts that a query visits all. So tasks stay bounded, a query goes once to each unit that it probes,
+and nothing is dropped. Of equal vectors only the k + 1 smallest ids are indexed, since ties go to the smaller
+id. Queries whose probes hold fewer than k other rows, though the table has more, then visit every unit of
+one table; for them the result is exact.
 
 Zero vectors take no part, besides what vectors.clean() says. Scores that tie within rounding are computed once more in
 one fixed order of summation, so equal vectors have equal scores.
@@ -24,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 from . import vectors as V
 
-TABLES, PROBES, SEED = 4, 24, 7
-#: Queries of a block that visits all buckets.
-BLOCK = 4096
+TABLES, PROBES, SEED = 8, 240, 7
+#: Rows of a unit.
+UNIT = 4096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -61,6 +65,51 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((q * q).sum()))
 
 
+class Codes:
+    """The codes of vectors in every table, and the units that hold them."""
+
+    def __init__(self, dims: int, tables: int, probes: int):
+        self.wide = 1 << max(1, (dims - 1).bit_length())
+        self.tables, self.axes = tables, 2 * self.wide
+        self.probes = min(probes, self.axes**2)
+        self.signs = np.random.default_rng(SEED).choice([-1.0, 1.0], (tables, 2, 3, self.wide))
+
+    def _axes(self, x: np.ndarray, t: int) -> list[np.ndarray]:
+        return [np.concatenate([y, -y], 1) for y in (turn(x, s) for s in self.signs[t])]
+
+    def of(self, x: np.ndarray, t: int) -> np.ndarray:
+        a, b = (y.argmax(1) for y in self._axes(x, t))
+        return a * self.axes + b
+
+    def probed(self, x: np.ndarray, t: int) -> np.ndarray:
+        """The ``probes`` nearest codes of each row."""
+        a, b = self._axes(x, t)
+        # Pairs of the nearest axes hold the nearest codes: the m-th of either is in no code before the m-th.
+        m = min(self.probes, self.axes)
+        i, j = (np.argsort(-y, 1)[:, :m] for y in (a, b))
+        rows = np.arange(len(x))[:, None]
+        score = (a[rows, i][:, :, None] + b[rows, j][:, None]).reshape(len(x), -1)
+        best = np.argpartition(-score, self.probes - 1, 1)[:, : self.probes] if self.probes < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(x), 1))
+        return i[rows, best // m] * self.axes + j[rows, best % m]
+
+    def units(self, counts: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(unit of each table's code, parts of each table's units) from the numbers of rows (tab, code, count)."""
+        unit, parts = np.zeros((self.tables, self.axes**2), np.int32), []
+        for t in range(self.tables):
+            own = np.zeros(self.axes**2, np.int64)
+            for r in counts:
+                if r.tab == t:
+                    own[r.code] = r.n
+            k, size, rows = 0, 0, []
+            for c, n in enumerate(own.tolist()):
+                if size and size + n > UNIT:
+                    rows.append(size)
+                    k, size = k + 1, 0
+                unit[t, c], size = k, size + n
+            parts.append(-(-np.array([*rows, max(size, 1)]) // UNIT))
+        return unit, parts
+
+
 def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine; ``query`` is a condition on ``id``.
 
@@ -73,73 +122,104 @@ def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, pr
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = common.materialise(rows.withColumn("is_query", query), "vectors")
-    wide = 1 << max(1, (dims - 1).bit_length())
+    kind = dict(rows.dtypes)["v"]
     n = rows.count()
-    probes = min(probes, 2 * wide)
-    signs = np.random.default_rng(SEED).choice([-1.0, 1.0], (tables, 3, wide))
-
-    def codes(x: np.ndarray, t: int, many: int) -> np.ndarray:
-        y = turn(x, signs[t])
-        both = np.concatenate([y, -y], 1)
-        if many == 1:
-            return both.argmax(1)[:, None]
-        part = np.argpartition(-both, many - 1, axis=1)[:, :many] if many < both.shape[1] else np.tile(np.arange(both.shape[1]), (len(x), 1))
-        return part
+    codes = Codes(dims, tables, probes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = unit(V.matrix(b.column(1), dims))
-            for t in range(tables):
-                c = codes(x, t, 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(c.astype(np.int32)), b.column(0), b.column(1)], names=["tab", "bucket", "id", "v"])
+            each = np.stack([codes.of(x, t) for t in range(tables)], 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(each.ravel()), tables).cast(pa.list_(pa.int32()))], names=["id", "v", "codes"])
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    data = common.materialise(V.reachable(rows.select("id", "v"), k).mapInArrow(hashed, f"id long, v {kind}, codes array<int>"), "hashed")
+    # At most tables * (2 * width) ** 2 counts come to the driver, whatever the table's size.
+    counts = data.select(F.posexplode("codes").alias("tab", "code")).groupBy("tab", "code").agg(F.count(F.lit(1)).alias("n")).collect()
+    held = spark.sparkContext.broadcast(codes.units(counts))
+    dealt = f"tab int, unit int, part int, id long, v {kind}, code binary"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit_of, parts = held.value
         for b in batches:
-            x = unit(V.matrix(b.column(1), dims))
+            h = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            each = b.column(2).flatten().to_numpy().reshape(-1, tables)
             for t in range(tables):
-                c = codes(x, t, probes)
-                at = pa.array(np.repeat(np.arange(len(x)), c.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(c.size, t, np.int32)), pa.array(c.ravel().astype(np.int32)), b.column(0).take(at), b.column(1).take(at)], names=["tab", "bucket", "id", "v"])
-
-    schema = "tab int, bucket int, id long, v array<double>"
-    data = rows.select("id", "v").mapInArrow(hashed, schema)
-    asked = rows.filter("is_query").select("id", "v").mapInArrow(probed, schema)
-    # At most tables * 2 * dims counts come to the driver.
-    sizes = {(r.tab, r.bucket): r["count"] for r in data.groupBy("tab", "bucket").count().collect()}
-    most = max(512, 2 * n // (2 * wide))
-    parts = spark.createDataFrame([(t, b, -(-c // most)) for (t, b), c in sizes.items()], "tab int, bucket int, parts long")
-    data = data.join(F.broadcast(parts), ["tab", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    asked = asked.join(F.broadcast(parts), ["tab", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+                u = unit_of[t][each[:, t]]
+                code = each[:, t].astype("<i4").tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(u), t, np.int32)),
+                        pa.array(u),
+                        pa.array((h % parts[t][u].astype(np.uint64)).astype(np.int32)),
+                        b.column(0),
+                        b.column(1),
+                        pa.array([code[i : i + 4] for i in range(0, len(code), 4)], pa.binary()),
+                    ],
+                    names=["tab", "unit", "part", "id", "v", "code"],
+                )
+
+    def ask(every: bool):
+        """Queries to the parts of the units that they probe, with the codes; or of table 0 to all of them, without."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            unit_of, parts = held.value
+            for whole in batches:
+                for s in range(0, whole.num_rows, 256):
+                    b = whole.slice(s, 256)
+                    x = unit(V.matrix(b.column(1), dims))
+                    for t in range(1 if every else tables):
+                        at, units, sent = [], [], []
+                        if every:
+                            at, units = np.repeat(np.arange(len(x)), len(parts[t])).tolist(), list(range(len(parts[t]))) * len(x)
+                            sent = [b""] * len(at)
+                        else:
+                            for i, own in enumerate(codes.probed(x, t)):
+                                own = np.sort(own)  # units ascend with codes
+                                u = unit_of[t][own]
+                                cut = np.flatnonzero(np.diff(u, prepend=-1))
+                                at += [i] * len(cut)
+                                units += u[cut].tolist()
+                                sent += [o.astype("<i4").tobytes() for o in np.split(own, cut[1:])]
+                        many = parts[t][np.array(units, np.int64)]
+                        again = pa.array(np.repeat(np.arange(len(at)), many))
+                        at = pa.array(np.repeat(np.array(at, np.int64), many))
+                        part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.repeat(np.array(units, np.int32), many)), pa.array(part.astype(np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(sent, pa.binary()).take(again)], names=["tab", "unit", "part", "id", "v", "code"])
+
+        return work
 
     def rank(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if a.num_rows and b.num_rows:
+            code = np.frombuffer(b"".join(b.column("code").to_pylist()), "<i4")
+            order = np.argsort(code, kind="stable")
+            code, ids, x = code[order], b.column("id").to_numpy()[order], V.matrix(b.column("v"), dims)[order]
+            ux = unit(x)
             qid, q = a.column("id").to_numpy(), V.matrix(a.column("v"), dims)
-            ids, x = b.column("id").to_numpy(), V.matrix(b.column("v"), dims)
-            uq, ux = unit(q), unit(x)
-            for i in range(0, len(q), 256):
-                s = uq[i : i + 256] @ ux.T
-                for j, row in enumerate(s, i):
-                    out += [(int(qid[j]), v, p) for v, p in V.best(row, ids, int(qid[j]), k, lambda at: cosines(q[j], x[at]))]  # noqa: B023
+            uq = unit(q)
+            for j, own in enumerate(a.column("code").to_pylist()):
+                if own:
+                    want = np.frombuffer(own, "<i4")
+                    first, last = np.searchsorted(code, want), np.searchsorted(code, want, side="right")
+                    size = last - first
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+                else:
+                    at = np.arange(len(code))
+                if len(at):
+                    out += [(int(qid[j]), v, p) for v, p in V.best(ux[at] @ uq[j], ids[at], int(qid[j]), k, lambda near: cosines(q[j], x[at[near]]))]  # noqa: B023
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    keys = ["tab", "bucket", "part"]
-    names = [*keys, "id", "v"]
-    found_schema = "query_id long, vec_id long, score double"
-    met = asked.select(names).groupBy(keys).cogroup(data.select(names).groupBy(keys))
-    found = common.materialise(V.merge(met.applyInArrow(rank, found_schema), k), "found")
-    held = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("held"))
-    short = rows.filter("is_query").select("id", "v").join(held, "id", "left").filter(F.coalesce("held", F.lit(0)) < min(k, n - 1))
-    short = common.materialise(short.select("id", "v"), "short", small=True)
-    blocks = -(-short.count() // BLOCK)
-    if not blocks:
+    keys = ["tab", "unit", "part"]
+
+    def met(asked: DataFrame, every: bool) -> DataFrame:
+        found = asked.mapInArrow(ask(every), dealt).groupBy(keys).cogroup(data.mapInArrow(place, dealt).filter("tab = 0" if every else "true").groupBy(keys))
+        return V.merge(found.applyInArrow(rank, "query_id long, vec_id long, score double"), k)
+
+    asked = rows.filter("is_query").select("id", "v")
+    found = common.materialise(met(asked, False), "found")
+    enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") >= min(k, n - 1))
+    short = common.materialise(asked.join(enough, "id", "left_anti"), "short", small=True)
+    if short.isEmpty():
         return found
-    # Each row is in one bucket of table 0: all of them hold the whole table once.
-    whole = data.filter("tab = 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    every = F.broadcast(parts.filter("tab = 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts"))
-    left = short.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).crossJoin(every)
-    keys, names = [*keys, "block"], [*names, "block"]
-    met = left.select(names).groupBy(keys).cogroup(whole.select(names).groupBy(keys))
-    rest = V.merge(met.applyInArrow(rank, found_schema), k)
-    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(met(short, True))

@@ -10,14 +10,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scores closer than this to the k-th best are computed again, the same way for every row.
 NEAR = 1e-9
 
 
 def clean(table: DataFrame, id_col: str, vec_col: str, ok: Column | None = None) -> tuple[DataFrame, int]:
-    """(id long, v array<double>) of the vectors that take part, and their length (0 if there are none)."""
-    v = F.col(f"`{vec_col}`").cast("array<double>")
+    """(id long, v array<double>, or array<float> where the table has that) of the vectors that take part, and their length (0 if there are none)."""
+    kind = table.select(F.col(f"`{vec_col}`")).schema[0].dataType
+    v = F.col(f"`{vec_col}`").cast("array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>")
     rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
@@ -31,10 +33,17 @@ def clean(table: DataFrame, id_col: str, vec_col: str, ok: Column | None = None)
     return rows.filter(F.size("v") == found[0].d), found[0].d
 
 
+def reachable(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the k best of any query: of equal vectors, which score equally, the k + 1 with the
+    smallest ids (one of them may be the query's own). Spark limits each group before the shuffle."""
+    by = Window.partitionBy("v").orderBy("id")
+    return rows.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1).drop("n")
+
+
 def matrix(column, dims: int) -> np.ndarray:
     """A column of equal-length arrays as rows of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) if len(column) else np.empty((0, dims))
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64, copy=False) if len(column) else np.empty((0, dims))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int, exact=None) -> list[tuple[int, float]]:

@@ -2,15 +2,18 @@
 
 Largest inner products become nearest neighbours when every data vector x gets one more component,
 sqrt(M - |x|^2) with M the largest |x|^2, and every query a zero: then |q - x|^2 = |q|^2 + M - 2 q.x.
-Pivots (k-means on a bounded sample) split that space into cells. Summaries per cell - how many data
-vectors, and the k + 1 smallest distances to the pivot - bound, for each group of queries (a cell's
-ring), how far its farthest k-th neighbour can be; a data vector goes only to the groups whose bound
-the triangle inequality does not rule out. Groups that need most of the data anyway are joined into
-blocks of queries, so that the data is not copied once per group. Each (group, chunk of data)
-is solved by itself with exact products, and the k best of all its chunks remain.
-
-The driver holds pivots, one summary row per cell and group, and the sample; nothing that grows with
-the data but the count of chunks. Queries with fewer than k candidates get all of them.
+Pivots (k-means on a bounded sample) split that space into cells. Each query first meets the data of its own
+cell, which gives the distance within which its k nearest lie at most. Summaries per cell - the data's
+distances to the pivot, the queries' bounds, and how much farther the queries are from every other pivot than
+from their own - then tell which cells a cell's queries need: those that neither the triangle inequality nor the
+hyperplane between the two pivots rules out. Neighbouring cells of queries form groups of about ``BLOCK`` queries, data
+goes to the groups that need its cell, and each (group, chunk of data) is solved by itself with exact
+products. The k best of all remain.
+
+Of equal vectors only the k + 1 smallest ids are candidates, since ties go to the smaller id. The driver
+holds pivots, summaries per cell and pair of cells, and the sample: nothing that grows with the data but the
+number of groups. Queries with fewer than k candidates get all of them. Where vectors are spread evenly in
+many dimensions no bound rules out any cell; then every group meets all data.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 from . import vectors as V
 
-#: Sampled rows for the pivots, pivots, rings per cell of queries, queries in a block, share of the data from which a group joins the blocks.
-SAMPLE, PIVOTS, RINGS, BLOCK, WIDE = 2048, 32, 4, 4096, 0.4
+#: Sampled rows for the pivots, pivots at most, queries in a group.
+SAMPLE, PIVOTS, BLOCK = 2048, 256, 4096
 SLACK = 1e-6
 
 
@@ -72,6 +75,65 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(big, -(2**63), 2**63 - 1)
 
 
+class Units:
+    """Who meets whom: each query cell's unit, each data cell's units, and how many chunks and blocks a unit has."""
+
+    def __init__(self, of_query: dict[int, int], of_data: dict[int, list[int]], queries: dict[int, int], rows: dict[int, int], chunk: int):
+        n = max(of_query.values(), default=-1) + 1
+        asked, held = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for c, u in of_query.items():
+            asked[u] += queries[c]
+        for c, us in of_data.items():
+            held[us] += rows[c]
+        self.of_query, self.of_data = of_query, of_data
+        self.chunks, self.blocks = np.maximum(1, -(-held // chunk)), np.maximum(1, -(-asked // BLOCK))
+
+    def deal(self, batch: pa.RecordBatch, data: bool) -> pa.RecordBatch | None:
+        """(unit, part, block, id, v): a row to every block, or a query to every part, of its units."""
+        ids, cell = batch.column("id").to_numpy(), batch.column("cell").to_numpy()
+        h = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+        take, cols = [], []
+        for c in np.unique(cell).tolist():
+            i = np.flatnonzero(cell == c)
+            for u in self.of_data.get(c, []) if data else [self.of_query[c]]:
+                many, few = (self.blocks[u], self.chunks[u]) if data else (self.chunks[u], self.blocks[u])
+                one, all_ = np.repeat(h[i] % few, many), np.tile(np.arange(many), len(i))
+                take.append(np.repeat(i, many))
+                cols.append(np.stack([np.full(len(one), u), *((one, all_) if data else (all_, one))]))
+        if not take:
+            return None
+        at, x = pa.array(np.concatenate(take)), np.concatenate(cols, 1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*(pa.array(r) for r in x), batch.column("id").take(at), batch.column("v").take(at)], names=["unit", "part", "block", "id", "v"])
+
+
+def needed(gap: np.ndarray, far: dict[int, float], bound: dict[int, float], low: dict[int, float], high: dict[int, float], beyond: np.ndarray) -> dict[int, list[int]]:
+    """Per query cell, the other cells whose data its queries may need. ``far``: largest distance of a cell's query to
+    its pivot; ``bound``: largest distance of a k-th neighbour so far; ``low``, ``high``: range of the data's distances to
+    their pivot; ``beyond[q, c]``: least d(query, pivot c)^2 - d(query, own pivot)^2 over the queries of cell q."""
+    out = {}
+    for q, u in far.items():
+        out[q] = []
+        for c in low:
+            ring = max(gap[q, c] - u - high[c], low[c] - gap[q, c] - u)
+            plane = beyond[q, c] / (2 * gap[q, c]) if gap[q, c] > 0 else 0.0
+            if c != q and max(ring, plane) <= bound[q] + SLACK:
+                out[q].append(c)
+    return out
+
+
+def grouped(pivots: np.ndarray, queries: dict[int, int]) -> dict[int, int]:
+    """Group of each query cell: walk from a cell to the nearest one left, and close a group at ``BLOCK`` queries."""
+    left, out, group, size = set(queries), {}, 0, 0
+    at = min(left)
+    while left:
+        at = min(left, key=lambda c: (((pivots[c] - pivots[at]) ** 2).sum(), c))
+        left.remove(at)
+        if size and size + queries[at] > BLOCK:
+            group, size = group + 1, 0
+        out[at], size = group, size + queries[at]
+    return out
+
+
 def search(table: DataFrame, query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score (long): the k largest inner products of floor(scale * x) vectors.
 
@@ -83,81 +145,21 @@ def search(table: DataFrame, query: Column, k: int, scale: float = 64.0, id_col:
     rows, dims = V.clean(table, id_col, vec_col)
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("v"), query.alias("is_query"))
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"), query.alias("is_query"))
     rows = common.materialise(rows, "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     n, top = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").collect()])
-    pivots = _pivots(_lift(sample, top, True), PIVOTS)
+    pivots = _pivots(_lift(sample, top, True), int(min(PIVOTS, max(8, n**0.5))))
     rows = common.materialise(_assign(rows, pivots, top, dims), "assigned")
-
-    # Summaries. Per cell the k + 1 smallest distances: a query's own row may be among its k nearest.
-    by = Window.partitionBy("cell").orderBy("r")
-    small = rows.select("cell", "r").withColumn("n", F.row_number().over(by)).filter(F.col("n") <= k + 1)
-    firsts: dict[int, list[float]] = {}
-    for r in small.collect():
-        firsts.setdefault(r.cell, []).append(r.r)
-    sizes = {r.cell: r for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
-    queries = rows.filter("is_query")
-    widest = queries.agg(F.max("u")).first()[0] or 0.0
-    ring = F.least(F.floor(F.col("u") / F.lit(max(widest, SLACK) / RINGS)), F.lit(RINGS - 1)).cast("int")
-    groups = queries.groupBy("qcell", ring.alias("ring")).agg(F.count(F.lit(1)).alias("n"), F.max("u").alias("u")).orderBy("qcell", "ring").collect()
-
-    gap = _distances(pivots, pivots)
+    queries = rows.filter("is_query").select("id", "v", F.col("qcell").alias("cell"), "u")
+    data = common.materialise(V.reachable(rows.select("id", "v", "cell", "r"), k), "data")
+    sizes = {r.cell: r for r in data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}
+    asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not asked:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    held = {c: r.n for c, r in sizes.items()}
     chunk = int(min(max(n / 16, 1024), 65536))
-    limits, wide = {}, {}
-    for g in groups:
-        reach = np.sort(np.concatenate([gap[g.qcell, c] + np.array(rs) for c, rs in firsts.items()]) + g.u)
-        limit = reach[k] if len(reach) > k else np.inf
-        need = sum(s.n for c, s in sizes.items() if gap[g.qcell, c] - g.u - s.hi <= limit + SLACK and s.lo - gap[g.qcell, c] - g.u <= limit + SLACK)
-        if need >= WIDE * n:
-            wide[g.qcell, g.ring] = g.n
-        else:
-            limits[g.qcell, g.ring] = (limit + g.u + SLACK, need)
-    blocks = max(1, -(-sum(wide.values()) // BLOCK))
-    # Narrow groups first, then the blocks; each with its number of chunks. A narrow group of many queries is split as well.
-    names = {g: i for i, g in enumerate(limits)}
-    chunks = [max(1, -(-limits[g][1] // chunk)) for g in names]
-    per = [max(1, -(-g.n // BLOCK)) for g in groups if (g.qcell, g.ring) in names]
-    all_chunks = max(1, -(-n // chunk))
-    reaches = np.array([limits[g][0] for g in names])
-    gaps = np.array([gap[g[0]] for g in names]).reshape(len(names), len(pivots))
-    base = len(names)
-    plan = spark.sparkContext.broadcast((names, chunks, per, reaches, gaps))
-
-    def deal(batches: Iterator[pa.RecordBatch], data: bool) -> Iterator[pa.RecordBatch]:
-        names, chunks, per, reaches, gaps = plan.value
-        for b in batches:
-            c = {f: b.column(i) for i, f in enumerate(b.schema.names)}
-            ids = c["id"].to_numpy()
-            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            take, unit, part, block = [], [], [], []
-            if data:
-                cell, r = c["cell"].to_numpy(), c["r"].to_numpy()
-                for g in range(len(names)):
-                    i = np.flatnonzero(np.abs(gaps[g][cell] - r) <= reaches[g])
-                    for s in range(per[g]):
-                        take.append(i), unit.append(np.full(len(i), g)), part.append(h[i] % chunks[g]), block.append(np.full(len(i), s))
-                if wide:
-                    for s in range(blocks):
-                        i = np.arange(len(ids))
-                        take.append(i), unit.append(np.full(len(i), base)), part.append(h % all_chunks), block.append(np.full(len(i), s))
-            else:
-                cell = c["qcell"].to_numpy()
-                rings = np.minimum((c["u"].to_numpy() / (max(widest, SLACK) / RINGS)).astype(int), RINGS - 1)
-                for i, (x, y) in enumerate(zip(cell.tolist(), rings.tolist())):
-                    g = names.get((x, y), base)
-                    m, s = (all_chunks, blocks) if g == base else (chunks[g], per[g])
-                    take.append([i] * m), unit.append([g] * m), part.append(range(m)), block.append([int(h[i]) % s] * m)
-            if take:
-                i = np.concatenate([np.asarray(t, np.int64) for t in take])
-                cols = [np.concatenate([np.asarray(t, np.int32) for t in x]) for x in (unit, part, block)]
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), c["id"].take(at), c["v"].take(at)], names=["unit", "part", "block", "id", "v"])
-
-    dealt = "unit int, part int, block int, id long, v array<double>"
-    left = queries.select("id", "v", "qcell", "u").mapInArrow(lambda it: deal(it, False), dealt)
-    right = rows.select("id", "v", "cell", "r").mapInArrow(lambda it: deal(it, True), dealt)
 
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
@@ -171,5 +173,44 @@ def search(table: DataFrame, query: Column, k: int, scale: float = 64.0, id_col:
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64())})
 
-    keys = ["unit", "part", "block"]
-    return V.merge(left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(solve, schema), k)
+    def meet(units: Units) -> DataFrame:
+        plan = spark.sparkContext.broadcast(units)
+
+        def dealt(side: DataFrame, is_data: bool) -> DataFrame:
+            def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows and (out := plan.value.deal(b, is_data)) is not None:
+                        yield out
+
+            return side.select("id", "v", "cell").mapInArrow(work, "unit int, part int, block int, id long, v array<double>")
+
+        keys = ["unit", "part", "block"]
+        return dealt(queries, False).groupBy(keys).cogroup(dealt(data, True).groupBy(keys)).applyInArrow(solve, schema)
+
+    # Each query with its own cell, if that has data.
+    own = {c: i for i, c in enumerate(sorted(asked))}
+    first = common.materialise(V.merge(meet(Units(own, {c: [u] for c, u in own.items() if c in held}, asked, held, chunk)), k), "first")
+    kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "score")
+    bounded = queries.join(kth, "id", "left").withColumn("bound", F.when(F.col("score").isNotNull(), F.sqrt(F.greatest(norm + F.lit(top) - 2 * F.col("score"), F.lit(0.0)))).otherwise(float("inf")))
+    cells = bounded.groupBy("cell").agg(F.max("u").alias("far"), F.max("bound").alias("bound")).collect()
+
+    def beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column(1).to_numpy()
+            d = _distances(_lift(V.matrix(b.column(0), dims), top, False), pivots) ** 2
+            d -= d[np.arange(len(d)), cell][:, None]
+            for c in np.unique(cell):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pivots), c, np.int32)), pa.array(np.arange(len(pivots), dtype=np.int32)), pa.array(d[cell == c].min(0))], names=["cell", "other", "least"])
+
+    least = np.zeros((len(pivots), len(pivots)))
+    for r in queries.select("v", "cell").mapInArrow(beyond, "cell int, other int, least double").groupBy("cell", "other").agg(F.min("least").alias("least")).collect():
+        least[r.cell, r.other] = r.least
+    low, high = ({c: r[x] for c, r in sizes.items()} for x in ("low", "high"))
+    need = needed(_distances(pivots, pivots), {r.cell: r.far for r in cells}, {r.cell: r.bound for r in cells}, low, high, least)
+    group = grouped(pivots, asked)
+    to: dict[int, set[int]] = {}
+    for q, cs in need.items():
+        for c in cs:
+            to.setdefault(c, set()).add(group[q])
+    second = meet(Units(group, {c: sorted(g) for c, g in to.items()}, asked, held, chunk))
+    return V.merge(first.select("query_id", "vec_id", "score").unionByName(second), k)

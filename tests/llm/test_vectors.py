@@ -40,6 +40,21 @@ def test_voronoi_is_exact(spark, n, dims, k, copies):
     assert sorted(map(tuple, got.collect())) == brute_inner(x, 10, k)
 
 
+def test_voronoi_bounds_rule_out_far_cells(spark, monkeypatch):
+    """Tight clusters far apart: most pairs of cells are ruled out, in many small groups, and the result is exact."""
+    monkeypatch.setattr(voronoi, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    centres = 20 * rng.normal(size=(12, 6))
+    x = centres[rng.integers(0, 12, 600)] + 0.2 * rng.normal(size=(600, 6))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    seen, plain = [], voronoi.needed
+    monkeypatch.setattr(voronoi, "needed", lambda *a: seen.append((plain(*a), len(a[3]))) or seen[-1][0])
+    got = voronoi.search(spark.createDataFrame(rows(x), SCHEMA), F.col("id") % 10 == 0, 5)
+    assert sorted(map(tuple, got.collect())) == brute_inner(x, 10, 5)
+    need, cells = seen[0]
+    assert sum(map(len, need.values())) < 0.5 * len(need) * (cells - 1)
+
+
 def test_voronoi_odd_rows(spark):
     x = vectors(30, 4, 1)
     odd = [(None, [1.0] * 4, 0, ""), (100, None, 0, ""), (110, [1.0, None, 0.0, 0.0], 0, ""), (120, [float("nan")] * 4, 0, ""), (130, [float("inf")] * 4, 0, ""), (140, [1.0] * 3, 0, ""), (150, [], 0, "")]
@@ -93,7 +108,7 @@ def test_cross_polytope_small_and_odd_tables(spark):
 @pytest.mark.parametrize("n", [60, 241, 1000])
 def test_cross_polytope_finds_k_for_every_query(spark, n, monkeypatch):
     """A tight cone and two rows opposite to it: their probes hold almost nothing."""
-    monkeypatch.setattr(crosspoly, "BLOCK", 1)
+    monkeypatch.setattr(crosspoly, "UNIT", 16)
     rng = np.random.default_rng(1)
     axis = rng.normal(size=64)
     x = axis + 0.01 * rng.normal(size=(n, 64))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotraining, pieces, url_templates
@@ -13,9 +13,21 @@ from .url_templates import Rule
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
 
+#: What stands behind the words of a junk page: three marks of one kind, as they are written in html.
+_JUNK = r"%{3}|\*{3}|#{3}|\${3}|(?:&amp;){3}"
+
+
+def junk_label(html: Column) -> Column:
+    """The query's labels, which know nothing of urls or rules: a page is bad if a tenth of its words or more carry
+    junk marks, good if less than a hundredth do; between, or without html, it has no label."""
+    share = F.regexp_count(html, F.lit(_JUNK)) / F.size(F.split(html, " "))
+    return F.when(share >= 0.1, 1.0).when(share < 0.01, 0.0)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, else by its path template."""
-    return url_templates.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_templates.judge(pages, RULES, junk_label(F.col("html")))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

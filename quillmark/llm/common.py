@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
@@ -146,11 +147,36 @@ _turn: str | None = None
 
 def claim(holder: str, clear: Callable[[], None]) -> None:
     global _turn
-    if _turn not in (None, holder):
+    if _turn == holder:
+        return
+    if _turn is None:
+        _frugal()
+    else:
         _clear[_turn]()
+        give_back()
     _clear[holder], _turn = clear, holder
 
 
+_C = ctypes.CDLL(None)
+#: glibc's number of the size from which an allocation gets pages of its own.
+_MMAP_THRESHOLD = -3
+
+
+def _frugal() -> None:
+    """Have arrays return to the system as soon as they are freed, so that a worker's peak does not stay with it."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(_C, "mallopt"):
+        _C.mallopt(_MMAP_THRESHOLD, 1 << 18)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; without this it stays with the worker, in pieces, when its work changes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 class Known:
     """A cache of at most about ``most`` entries, emptied when it is full."""
 

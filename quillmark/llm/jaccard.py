@@ -2,11 +2,12 @@
 
 A document's set holds its distinct shingles of ``n`` words (A-Z lower-cased). Equal sets are one
 class. Classes meet in tiles: for each band of sizes, shingles are dealt by hash into more parts than
-a linked pair of that band can differ in shingles, so the pair agrees in at least one whole part; a
+a linked pair of that band can differ in shingles, so the pair agrees in all filled parts but so many; a
 tile is the classes of a band with the same content of a part. Only contents that occur more than once go on
-(blocks.repeated()), so texts like no other leave early. Within a tile, hashed bitmap signatures
-bound the overlap of each pair from above, |A n B| <= |A| - popcount(a and not b), before sorted arrays are
-intersected exactly.
+(blocks.repeated()), and only of classes that share as many as a partner must, so texts like no other leave early.
+Up to here only hashes of parts are kept; shingles and signatures are then derived from the blocks for the classes
+that are left. Within a tile, hashed bitmap signatures bound the overlap of each pair from above,
+|A n B| <= |A| - popcount(a and not b), before sorted arrays are intersected exactly.
 
 Only links between different components matter, so tiles are worked in rounds: first each class with
 the first class of its tiles that it shares most tiles with, then for each still separate component its pairs
@@ -23,7 +24,6 @@ gives no rows; a null doc_id gives a null component only if the whole component
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,6 @@ from . import common
 from .components import components
 
 TILE = 1024
-_LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 _PART, _NODE = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -51,18 +50,18 @@ class Bands:
         self.high = np.array(high, np.int64)
         #: Shingles in which a pair may differ whose smaller set lies in the band.
         self.differ = (den - num) * (self.high + self.high * den // num) // (den + num)
-        self.parts = self.differ + 1 + np.where(self.differ > 0, 2 + self.differ // 40, 0)
+        #: More parts than that, so that a linked pair agrees in several and an accident in one does not count.
+        self.parts = self.differ + 1 + np.where(self.differ > 0, 2 + self.differ // 10, 0)
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, sizes)
 
 
-def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, sorted and distinct within each document; where each document begins)."""
-    words = [t.translate(_LOWER).split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
+    named, counts = B.words(texts, lower=True)
     begins = np.concatenate([[0], np.cumsum(counts)])
-    h = B.word_hashes([w for x in words for w in x])
+    h = B.word_hashes(named)
     roll = B.rolling(h, n, B.BASES[0])
     full = np.maximum(counts - n + 1, 0)
     doc = np.repeat(np.arange(len(texts)), full)
@@ -90,11 +89,12 @@ def nodes_of(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return B.mix(total[begins[1:]] - total[begins[:-1]] + np.diff(begins).astype(np.uint64)).view(np.int64)
 
 
-def part_keys(values: np.ndarray, begins: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of parts, the document of each)."""
+def part_keys(values: np.ndarray, begins: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of parts, the document of each as 2 * document + shift, how many of these a linked partner must share): a
+    document has keys as the smaller of a pair (shift 0: its band) and as the larger (shift 1: the band before)."""
     sizes = np.diff(begins)
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    mixed, keys, docs = B.mix(values ^ _PART), [], []
+    mixed, keys, docs, need = B.mix(values ^ _PART), [], [], np.zeros(2 * len(sizes), np.int64)
     for shift in (0, 1):
         band = bands.of(sizes) - shift
         use = (sizes > 0) & (band >= 0)
@@ -116,8 +116,10 @@ def part_keys(values: np.ndarray, begins: np.ndarray, bands: Bands) -> tuple[np.
         o = owner[take]
         k = B.mix(content[take] ^ B.mix(inner[take].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt[o] + held[take].astype(np.uint64)))
         keys.append(k)
-        docs.append(o)
-    return np.concatenate(keys), np.concatenate(docs)
+        docs.append(2 * o + shift)
+        # A pair's difference touches at most ``differ`` parts; the other filled ones are keys that both have.
+        need[shift::2] = np.maximum(filled - np.where(use, bands.differ[np.maximum(band, 0)], 0), 1)
+    return np.concatenate(keys), np.concatenate(docs), need
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
@@ -229,77 +231,118 @@ def _tile_pairs(num: int, den: int, quota: int | None):
     return work
 
 
-def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the component), one row per document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = B.buckets_of(docs, 0.5)
+def _own_sets(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, where each document's begin, names of the sets; of the first document of each set in the block its place, and its shingles' places)."""
+    values, begins = shingle_sets(table.column("text"), n)
+    names = nodes_of(values, begins)
+    keep = np.zeros(len(names), bool)
+    keep[np.unique(names, return_index=True)[1]] = True
+    return values, begins, names, keep, np.repeat(keep, np.diff(begins))
+
+
+def groups(docs: DataFrame, carry: list[str], n: int = 5, num: int = 80, den: int = 100, text_col: str = "text") -> DataFrame:
+    """One row per document: the columns ``carry`` (long), n_shingles, and comp, a name of the document's component (null without shingles)."""
+    rows = docs.select(*(F.col(f"`{c}`").cast("long").alias(f"c{i}") for i, c in enumerate(carry)), F.col(f"`{text_col}`").alias("text"))
+    carried = rows.columns[:-1]
+    deal = B.deal_of(docs, 0.5)
     packed = B.pack_blocks(rows, "text")
-    sized = Bands(num, den, 1 << 26)
+    sized = Bands(num, den, 1 << 40)
 
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        values, begins = shingle_sets(B.texts(table, "text"), n)
         # Copies within a block say nothing new: one of each class.
-        first = np.unique(nodes_of(values, begins), return_index=True)[1]
-        keep = np.zeros(len(begins) - 1, bool)
-        keep[first] = True
-        on = np.repeat(keep, np.diff(begins))
-        kept = np.concatenate([[0], np.cumsum(np.diff(begins)[keep])])
-        keys, _ = part_keys(values[on], kept, sized)
+        values, begins, _, keep, on = _own_sets(table, n)
+        keys, _, _ = part_keys(values[on], np.concatenate([[0], np.cumsum(np.diff(begins)[keep])]), sized)
         return keys, B.mix(keys ^ _NODE)
 
-    bits = B.repeated(packed, hashes, buckets)
-
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, found in zip(batch.column(0), batch.column(1).to_pylist()):
+            for block, payload, found, firsts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 table = B.unpack(payload.as_buffer())
-                values, begins = shingle_sets(B.texts(table, "text"), n)
-                names, sizes = nodes_of(values, begins), np.diff(begins)
-                first, same = np.unique(names, return_index=True, return_inverse=True)[1:]
-                keep = np.zeros(len(sizes), bool)
-                keep[first] = True
-                on = np.repeat(keep, sizes)
-                keys, owner = part_keys(values[on], np.concatenate([[0], np.cumsum(sizes[keep])]), sized)
-                starts, index, times = B.occurrences((keys, B.mix(keys ^ _NODE)), buckets)
+                values, begins, names, keep, on = _own_sets(table, n)
+                sizes = np.diff(begins)
+                keys, owner, need = part_keys(values[on], np.concatenate([[0], np.cumsum(sizes[keep])]), sized)
+                starts, index, times = B.occurrences((keys, B.mix(keys ^ _NODE)), deal.buckets)
                 hit = (B.marks(found, starts) | (times > 1))[index]
-                # The block's first document of a class carries the class's keys and set.
-                own = np.flatnonzero(keep)[owner[hit]]
+                # Too few keys in common with anything: no partner.
+                hit &= (np.bincount(owner[hit], minlength=len(need)) >= need)[owner]
+                # The first document of a set in its block carries the keys, unless an equal text stands in a block before.
+                own = np.flatnonzero(keep)[owner // 2]
+                first = np.zeros(len(sizes), bool)
+                first[firsts or []] = True
+                hit &= first[own]
+                least = np.full(len(sizes), np.iinfo(np.int32).max)
+                np.minimum.at(least, own[hit], need[owner[hit]])
+                own = own[hit]
                 order = np.argsort(own, kind="stable")
                 ends = np.searchsorted(own[order], np.arange(len(sizes) + 1))
                 listed = keys[hit][order].view(np.int64)
-                has = np.diff(ends) > 0
-                raw = values.astype("<u8").tobytes()
                 for i in range(0, len(sizes), 2048):
                     j = range(i, min(i + 2048, len(sizes)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            table.column("doc_id").slice(i, len(j)).combine_chunks(),
+                            *(table.column(c).slice(i, len(j)).combine_chunks() for c in carried),
                             pa.array(sizes[i : i + 2048]),
                             pa.array(names[i : i + 2048], mask=sizes[i : i + 2048] == 0),
-                            pa.array([listed[ends[k] : ends[k + 1]] if has[k] else None for k in j], pa.list_(pa.int64())),
-                            pa.array([raw[8 * begins[k] : 8 * begins[k + 1]] if has[k] else None for k in j], pa.binary()),
-                            pa.array([bitmap(values[begins[k] : begins[k + 1]], width_of(int(sizes[k]))).tobytes() if has[k] else None for k in j], pa.binary()),
+                            pa.array([block] * len(j)),
+                            pa.array(j, pa.int32()),
+                            pa.array(np.minimum(least[i : i + 2048], np.iinfo(np.int32).max).astype(np.int32)),
+                            pa.array([listed[ends[k] : ends[k + 1]] if ends[k] < ends[k + 1] else None for k in j], pa.list_(pa.int64())),
+                        ],
+                        names=[*carried, "n_shingles", "node", "block_id", "at", "need", "keys"],
+                    )
+
+    met = packed.select("block_id", "payload").join(B.repeated(packed, hashes, deal), "block_id", "left").join(B.first_copies(packed), "block_id", "left")
+    all_docs = common.materialise(met.select("block_id", "payload", "bits", "firsts").mapInArrow(unfold, ", ".join(f"{c} long" for c in carried) + ", n_shingles long, node long, block_id long, at int, need int, keys array<long>"), "docs")
+
+    # Tiles as (node, key) rows only; sets and signatures are derived for the nodes that any tile of two or more holds.
+    held = all_docs.filter("keys is not null").select("node", "block_id", "at", "need", "keys")
+    members = held.select("node", "need", F.explode("keys").alias("key")).groupBy("node", "key").agg(F.min("need").alias("need"))
+    # Nodes that share fewer keys than a partner must with all others together leave.
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    met = common.materialise(members.join(shared, "key"), "met")
+    strong = met.groupBy("node").agg(F.count(F.lit(1)).alias("keys"), F.min("need").alias("need")).filter("keys >= need").select("node")
+    members = met.join(strong, "node", "left_semi")
+    many = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    tiles = common.materialise(members.join(many, "key"), "tiles")
+    common.drop_scratch(met)
+    places = held.join(tiles.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("block_id", "at")).alias("p"))
+    wanted = places.groupBy("p.block_id").agg(F.collect_list("p.at").alias("ats"))
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, ats in zip(batch.column(0), batch.column(1).to_pylist()):
+                table = B.unpack(payload.as_buffer())
+                for i in range(0, len(ats), 512):
+                    values, begins = shingle_sets(table.column("text").take(pa.array(ats[i : i + 512])), n)
+                    each = [values[a:b] for a, b in zip(begins, begins[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(nodes_of(values, begins)),
+                            pa.array(np.diff(begins)),
+                            pa.array([x.astype("<u8").tobytes() for x in each], pa.binary()),
+                            pa.array([bitmap(x, width_of(len(x))).tobytes() for x in each], pa.binary()),
                         ],
-                        names=["doc_id", "n_shingles", "node", "keys", "shingles", "sig"],
+                        names=["node", "size", "shingles", "sig"],
                     )
 
-    all_docs = common.materialise(packed.join(bits, "block_id", "left").select("payload", "bits").mapInArrow(unfold, "doc_id long, n_shingles long, node long, keys array<long>, shingles binary, sig binary"), "sets")
+    sets = packed.select("block_id", "payload").join(wanted, "block_id").select("payload", "ats").mapInArrow(derive, "node long, size long, shingles binary, sig binary")
+    sets = common.materialise(sets, "classes")
     common.drop_scratch(packed)
-    named = common.materialise(all_docs.select("doc_id", "n_shingles", "node"), "named", small=True)
-    return _label(named, components(_links(all_docs, num, den)))
+    named = all_docs.select(*carried, "n_shingles", "node").join(components(_links(tiles, sets, num, den)), "node", "left")
+    return named.select(*(F.col(c).alias(name) for c, name in zip(carried, carry)), "n_shingles", F.coalesce("comp", "node").alias("comp"))
 
 
-def _links(all_docs: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between classes that connect all that is connected. Deletes the written table ``all_docs``."""
-    held = all_docs.filter("keys is not null")
-    members = held.select("node", F.explode("keys").alias("key")).distinct()
-    many = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    tiles = common.materialise(members.join(many, "key"), "tiles")
-    sets = held.select("node", F.col("n_shingles").alias("size"), "shingles", "sig").join(tiles.select("node").distinct(), "node", "left_semi")
-    sets = common.materialise(sets.dropDuplicates(["node"]), "classes")
-    common.drop_scratch(all_docs)  # the classes hold what is still needed of it
+def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component), one row per document."""
+    named = groups(docs, [id_col], n, num, den, text_col).withColumnRenamed(id_col, "doc_id")
+    # Written first: a join with a plain table can be split where one component has many rows.
+    least = common.materialise(named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
+    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
 
-    shared = tiles.filter("node <> lead").groupBy("node", "lead").count()
+def _links(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between classes that connect all that is connected."""
+    shared = tiles.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("count"), F.min("need").alias("need")).filter(F.col("count") >= F.col("need"))
     first = shared.groupBy("node").agg(F.max_by("lead", F.struct("count", "lead")).alias("a")).select("a", F.col("node").alias("b"))
     links = verify(first, sets, num, den)
     for quota in (2, None):
@@ -319,12 +362,3 @@ def _links(all_docs: DataFrame, num: int, den: int) -> DataFrame:
         pairs = rest.mapInArrow(_tile_pairs(num, den, quota), "a long, b long").distinct()
         links = links.union(verify(pairs, sets, num, den))
     return links
-
-
-def _label(all_docs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The smallest doc_id of each component, for each document."""
-    named = all_docs.select("doc_id", "n_shingles", "node").join(comp, "node", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp"))
-    # Written first: a join with a plain table can be split where one component has many rows.
-    least = common.materialise(named.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least")), "least")
-    return named.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -160,7 +160,7 @@ def search(sorted_keys: list[np.ndarray], targets: list[np.ndarray], right: bool
 class PieceCoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; decode() turns them back."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         self.vocabulary, self.parts = Vocabulary(path), common.Known(most)
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -21,30 +21,28 @@ from pyspark.sql import types as T
 from . import blocks as B
 from . import common
 
-def _windows(texts: list[bytes], width: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, where each begins among all, and the first word of each window among all."""
-    words = [t.split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
+
+def _windows(table: pa.Table, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word, where each text's words begin and the last end, and the first word of each window."""
+    named, counts = B.words(table.column(text_col))
     begins = np.concatenate([[0], np.cumsum(counts)])
     ok = np.zeros(begins[-1] + 1, bool)
     for a, n in zip(begins[:-1][counts >= width], counts[counts >= width]):
         ok[a : a + n - width + 1] = True
-    return words, begins, np.flatnonzero(ok)
+    return B.word_hashes(named), begins, np.flatnonzero(ok)
 
 
 def window_hashes(width: int, text_col: str) -> Callable:
     def hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        words, _, at = _windows(B.texts(table, text_col), width)
-        h = B.word_hashes([w for x in words for w in x])
+        h, _, at = _windows(table, text_col, width)
         return tuple(B.rolling(h, width, base)[at] for base in B.BASES)
 
     return hashes
 
 
-def covered(table: pa.Table, bits: list[dict] | None, width: int, text_col: str, buckets: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    """Words of each text and which of them a repeated window covers."""
-    words, begins, at = _windows(B.texts(table, text_col), width)
-    h = B.word_hashes([w for x in words for w in x])
+def covered(table: pa.Table, bits: list[dict] | None, width: int, text_col: str, buckets: int) -> list[np.ndarray]:
+    """Of each text, which of its words a repeated window covers."""
+    h, begins, at = _windows(table, text_col, width)
     starts, index, times = B.occurrences(tuple(B.rolling(h, width, base)[at] for base in B.BASES), buckets)
     repeat = (B.marks(bits, starts) | (times > 1))[index]
     edge = np.zeros(begins[-1] + 1, np.int64)
@@ -52,7 +50,7 @@ def covered(table: pa.Table, bits: list[dict] | None, width: int, text_col: str,
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + width, -1)
     cover = np.cumsum(edge)[:-1] > 0
-    return words, np.split(cover, begins[1:-1])
+    return np.split(cover, begins[1:-1])
 
 
 def intervals(cover: np.ndarray) -> list[tuple[int, int]]:
@@ -61,43 +59,38 @@ def intervals(cover: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(e[::2].tolist(), e[1::2].tolist()))
 
 
-def dedup(docs: DataFrame, width: int = 35, text_col: str = "text", derive: Callable | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """All columns of ``docs`` plus n_words, removed (array of maximal [begin, end) intervals) and kept (text).
-
-    ``derive(table, words, covers)`` may make other columns, of the given schema, in the same pass.
-    """
-    buckets = B.buckets_of(docs)
+def dedup(docs: DataFrame, width: int = 35, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` plus, as the last three, n_words, removed (array of maximal [begin, end) intervals) and
+    kept (text); where ``docs`` has such a name, the new column's gets underscores behind it."""
+    deal = B.deal_of(docs)
     inner = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     text = inner.columns[docs.columns.index(text_col)]
     packed = B.pack_blocks(inner, text)
-    bits = B.repeated(packed, window_hashes(width, text), buckets)
-    if schema is None:
-        derive = _default
-        schema = T.StructType(inner.schema.fields + [T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.StringType())])
+    bits = B.repeated(packed, window_hashes(width, text), deal)
+    span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([*inner.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for payload, found in zip(b.column(0), b.column(1).to_pylist()):
                 table = B.unpack(payload.as_buffer())
-                words, covers = covered(table, found, width, text, buckets)
-                yield from derive(table, words, covers).to_batches(max_chunksize=512)
+                covers = covered(table, found, width, text, deal.buckets)
+                for i in range(0, len(covers), 512):
+                    yield from _rows(table.slice(i, 512), text, covers[i : i + 512]).to_batches()
 
-    out = packed.join(bits, "block_id", "left").select("payload", "bits").mapInArrow(cut, schema)
-    n = len(docs.columns)
-    if derive is _default:
-        return out.toDF(*docs.columns, *out.columns[n:])
-    return out
+    out = packed.select("block_id", "payload").join(bits, "block_id", "left").select("payload", "bits").mapInArrow(cut, schema)
+    return out.toDF(*docs.columns, *common.free(("n_words", "removed", "kept"), docs.columns))
 
 
-def kept_text(words: list[bytes], cover: np.ndarray) -> bytes:
+def kept_text(text: bytes, cover: np.ndarray) -> bytes:
     """The words that stay, joined by one space."""
-    if not cover.any():
-        return b" ".join(words)
-    return b" ".join([w for w, c in zip(words, cover.tolist()) if not c])
+    words = text.split()
+    return b" ".join(words if not cover.any() else [w for w, c in zip(words, cover.tolist()) if not c])
 
 
-def _default(table: pa.Table, words: list[list[bytes]], covers: list[np.ndarray]) -> pa.Table:
+def _rows(table: pa.Table, text_col: str, covers: list[np.ndarray]) -> pa.Table:
     spans = [[{"begin": a, "end": b} for a, b in intervals(c)] for c in covers]
-    table = table.append_column("n_words", pa.array([len(w) for w in words], pa.int64()))
+    kept = [kept_text(t, c) for t, c in zip(B.texts(table, text_col), covers)]
+    table = table.append_column("n_words", pa.array([len(c) for c in covers], pa.int64()))
     table = table.append_column("removed", pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))))
-    return table.append_column("kept", pa.array([kept_text(w, c) for w, c in zip(words, covers)], pa.binary()).cast(pa.string()))
+    return table.append_column("kept", pa.array(kept, pa.binary()).cast(pa.string())).combine_chunks()

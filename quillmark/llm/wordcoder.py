@@ -44,7 +44,7 @@ def _settings(path: str) -> dict:
 class WordCoder:
     """encode(texts) gives, per text, its ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 300000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillmark.llm import blocks, jaccard, substring
@@ -65,6 +66,21 @@ def test_substring_dedup_is_exact(spark, seed, width):
         assert all(a.end < b.begin for a, b in zip(r.removed, r.removed[1:]))
 
 
+def test_two_levels_of_buckets_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FAN", 4)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 1 << 14)
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 1 << 10)
+    monkeypatch.setattr(blocks.pack_blocks, "__defaults__", (1 << 10,))
+    rows = texts(5, 150)
+    docs = frame(spark, rows).repartition(5)
+    assert blocks.deal_of(docs).ranges > 4
+    got = {r.doc_id: (r.n_words, sum(x.end - x.begin for x in r.removed), r.kept) for r in substring.dedup(docs, 9).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_removed(rows, 9)
+    rows = texts(6, 100, 60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(spark, rows).repartition(5), 4, 85, 100).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_classes(rows, 4, 85, 100)
+
+
 def test_substring_dedup_of_an_empty_table(spark):
     assert substring.dedup(frame(spark, []).limit(0), 35).count() == 0
 
@@ -122,8 +138,10 @@ def test_linked_pairs_share_a_part(num, den):
             b = np.unique(b)
             if not jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), num, den):
                 continue
-            keys, owner = jaccard.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
-            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+            keys, owner, need = jaccard.part_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), bands)
+            # In some band that both have keys of, each shares as many as its partner must have in common with it.
+            both = {(i, j): len(set(keys[owner == i].tolist()) & set(keys[owner == j].tolist())) for i in (0, 1) for j in (2, 3)}
+            assert any(n and n >= max(need[i], need[j]) for (i, j), n in both.items())
 
 
 @pytest.mark.parametrize("width", [1, 2, 5, 35, 50])
@@ -134,6 +152,17 @@ def test_rolling_is_the_polynomial_hash(width):
     assert blocks.rolling(h, width, base).tolist() == blocks.mix(np.array(want, np.uint64)).tolist()
 
 
+def test_words_of_slices():
+    """Columns that are slices of others, with characters of several bytes."""
+    rows = ["é Ab", "c D", "", None, " Éa\tB ", "x\x1cy Ñ"] * 3
+    for a in range(7):
+        for lower in (False, True):
+            named, counts = blocks.words(pa.array(rows).slice(a, 9), lower)
+            want = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") if lower else t or "" for t in rows[a : a + 9]]
+            assert counts.tolist() == [len(WORD.findall(t)) for t in want]
+            assert named.to_pylist() == [w for t in want for w in WORD.findall(t)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]

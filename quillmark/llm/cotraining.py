@@ -1,8 +1,8 @@
 """Quality classifier by co-training two views.
 
 The text view sees a document's words: hashed word frequencies and how they are written (repetition,
-capitals, marks). The metadata view sees what a page's record tells without its words: source,
-language, length, and layout (lines, blank lines, line lengths). Each view's logistic regression is
+capitals, marks). The metadata view sees what a page's record tells without its text: source, language,
+the pair of both, and the recorded length. Each view's logistic regression is
 fitted on labelled rows; then, round by round, each labels the unlabelled rows it is most confident of
 for the other. Both are calibrated on labelled rows held out, combined by a third fit on them, and score every document.
 
@@ -13,7 +13,8 @@ rows, or the others, lack a kind, all labelled rows serve as both.
 
 Defined results: a null or empty text has no words and scores by what remains; null source, language
 or labels count as a value of their own, and rows with a null label or doc_id are not fitted on;
-without labelled rows of both kinds every score is 1; a doc_id labelled twice counts as its worst label.
+without labelled rows of both kinds every score is 1; a doc_id labelled twice counts as its worst label; of different
+rows with one doc_id one is fitted on, by a hash of the row. Only doc_id, text, source, lang and n_chars are read.
 """
 
 from __future__ import annotations
@@ -29,54 +30,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks as B
 from . import common
 
 #: Hashed dimensions of the text view's words and of the metadata view's names.
 WORDS, NAMES = 4096, 256
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'-_")
 _UPPER, _SMALL = string.ascii_uppercase.encode(), string.ascii_lowercase.encode()
-TEXT_DIMS, META_DIMS = WORDS + 8, NAMES + 7
+TEXT_DIMS, META_DIMS = WORDS + 8, NAMES + 3
 #: Confident alone: scores further than this from an even chance.
 SURE = 0.45
 
 
-class _Slots(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        s = self[word] = xxhash.xxh32_intdigest(word.lower()) % WORDS
-        return s
-
-
-_slots = _Slots()
-
-
-def text_view(texts: list[bytes]) -> np.ndarray:
-    common.claim("slots", _slots.clear)
-    out = np.zeros((len(texts), TEXT_DIMS), np.float32)
-    for i, t in enumerate(texts):
-        words = t.split()
-        n = len(words)
+def text_view(texts: pa.Array) -> np.ndarray:
+    named, counts = B.words(texts, lower=True)
+    each = common.objects(named.dictionary.cast(pa.large_binary()))
+    at = (np.fromiter(map(xxhash.xxh32_intdigest, each), np.int64, len(each)) % WORDS)[named.indices.to_numpy()]
+    doc = np.repeat(np.arange(len(counts)), counts)
+    f = np.bincount(doc * WORDS + at, minlength=len(counts) * WORDS).reshape(-1, WORDS)
+    same = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (at[1:] == at[:-1])], minlength=len(counts))
+    out = np.zeros((len(counts), TEXT_DIMS), np.float32)
+    for i, (n, t) in enumerate(zip(counts.tolist(), B.texts(pa.table({"t": texts}), "t"))):
         if not n:
             continue
-        at = np.fromiter(map(_slots.__getitem__, words), np.int64, n)
-        f = np.bincount(at, minlength=WORDS)
-        out[i, :WORDS] = np.sqrt(f / n)
+        out[i, :WORDS] = np.sqrt(f[i] / n)
         size = len(t)
         marks, upper, small = (size - len(t.translate(None, kind)) for kind in (_MARKS, _UPPER, _SMALL))
-        same = (at[1:] == at[:-1]).sum() / n
-        out[i, WORDS:] = ((f > 0).sum() / min(n, WORDS), same, 10 * marks / size, upper / max(1, upper + small), f.max() / n, np.log1p(n) / 10, size / n / 10, marks / n > 0.5)
+        out[i, WORDS:] = ((f[i] > 0).sum() / min(n, WORDS), same[i] / n, 10 * marks / size, upper / max(1, upper + small), f[i].max() / n, np.log1p(n) / 10, size / n / 10, marks / n > 0.5)
     return out
 
 
-def meta_view(texts: list[bytes], source: list, lang: list, n_chars: list) -> np.ndarray:
-    out = np.zeros((len(texts), META_DIMS))
-    for i, (t, s, g, n) in enumerate(zip(texts, source, lang, n_chars)):
-        for name in (f"s:{s}", f"l:{g}"):
+def meta_view(source: list, lang: list, n_chars: list) -> np.ndarray:
+    out = np.zeros((len(source), META_DIMS))
+    for i, (s, g, n) in enumerate(zip(source, lang, n_chars)):
+        size = max(n or 0, 0)
+        for name in (f"s:{s}", f"l:{g}", f"s:{s} l:{g}", f"n:{size.bit_length()}"):
             out[i, xxhash.xxh32_intdigest(name.encode()) % NAMES] = 1
-        lines = t.split(b"\n")
-        sizes = [len(x) for x in lines]
-        out[i, NAMES:] = (np.log1p(max(n or 0, 0)) / 10, np.log1p(len(t)) / 10, np.log1p(len(lines)) / 5, sum(not x for x in sizes) / len(lines), np.log1p(max(sizes)) / 10, np.log1p(np.mean(sizes)) / 10, 1.0)
+        out[i, NAMES:] = np.log1p(size) / 10, n is None, 1.0
     return out
 
 
@@ -101,6 +91,12 @@ def share(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def calibrated(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weights with the slope and intercept worked in that fit (x, y) best."""
+    slope, base = fit(logit(x, w)[:, None], y, np.ones(len(y)), 1e-4, 400)
+    return np.append(slope * w[:-1], slope * w[-1] + base)
+
+
 @dataclass(frozen=True)
 class Model:
     text: np.ndarray
@@ -130,8 +126,10 @@ def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, surest: Callable, round
         wt, wm = fit(views[0], told[0], weights[0], decay), fit(views[1], told[1], weights[1], decay)
         if r == rounds:
             break
-        for mine, found in enumerate(surest(wt, wm)):
-            p = share(logit(found[mine], (wt, wm)[mine]))
+        # How sure a view is counts after calibration on the held-out rows: a view that knows nothing tells nothing.
+        sure_of = [calibrated(w, x[held], y[held]) for w, x in ((wt, t), (wm, m))]
+        for mine, found in enumerate(surest(*sure_of)):
+            p = share(logit(found[mine], sure_of[mine]))
             sure = np.abs(p - 0.5) > SURE
             views[1 - mine] = np.vstack([views[1 - mine], found[1 - mine][sure]])
             told[1 - mine] = np.concatenate([told[1 - mine], (p[sure] > 0.5).astype(float)])
@@ -153,9 +151,8 @@ def _features(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]
-            t = text_view(texts).astype("<f4")
-            m = meta_view(texts, *(b.column(i).to_pylist() for i in (1, 2, 3))).astype("<f4")
+            t = text_view(b.column(0)).astype("<f4")
+            m = meta_view(*(b.column(i).to_pylist() for i in (1, 2, 3))).astype("<f4")
             packed = []
             for r in t:
                 at = np.flatnonzero(r)
@@ -183,8 +180,7 @@ def surest(docs: DataFrame, told: DataFrame, wt: np.ndarray, wm: np.ndarray, tak
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                texts = [x or b"" for x in b.column(0).cast(pa.binary()).to_pylist()]
-                views = text_view(texts), meta_view(texts, *(b.column(k).to_pylist() for k in (1, 2, 3)))
+                views = text_view(b.column(0)), meta_view(*(b.column(k).to_pylist() for k in (1, 2, 3)))
                 sure = [np.abs(share(logit(x, w)) - 0.5).astype(float) for x, w in zip(views, held.value)]
                 yield pa.RecordBatch.from_arrays([b.column(4), *map(pa.array, sure)], names=["doc_id", "s0", "s1"])
 
@@ -202,6 +198,7 @@ def surest(docs: DataFrame, told: DataFrame, wt: np.ndarray, wm: np.ndarray, tak
 def train(docs: DataFrame, labels: DataFrame, labelled: int = 2400, unlabelled: int = 1600, rounds: int = 3) -> Model | None:
     """Fit on at most ``labelled`` labelled documents, chosen by hash of their id, and in each round on at most a
     tenth of ``unlabelled`` more for each view, the surest of all unlabelled documents."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
     told = labels.filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min(F.col("good").cast("double")).alias("y"))
     ids = docs.select("doc_id").filter("doc_id is not null")
     pick = told.join(ids, "doc_id", "left_semi").select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
@@ -210,8 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 2400, unlabelled:
 
     def features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         # The ids of a sample are bounded by the parameters, so they are broadcast.
-        rows = docs.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
-        found = _features(rows.select("text", "source", "lang", "n_chars", "y")).collect()
+        rows = docs.join(F.broadcast(sample), "doc_id").withColumn("row", F.struct("text", "source", "lang", "n_chars", "y"))
+        rows = rows.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        found = _features(rows.select("row.*")).collect()
         found.sort(key=lambda r: xxhash.xxh64_intdigest(r.t + r.m))
         return _dense(found)
 
@@ -230,7 +228,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 2400, unlabelled:
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` plus p_text, p_meta, quality_score and keep."""
+    """All columns of ``docs`` plus, as the last four, p_text, p_meta, quality_score and keep; where ``docs`` has such a
+    name, the new column's gets underscores behind it."""
     common.arrow_rows(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
@@ -245,12 +244,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     p = q = s = np.ones(b.num_rows)
                     keep = np.ones(b.num_rows, bool)
                 else:
-                    texts = [x or b"" for x in b.column(at[0]).cast(pa.binary()).to_pylist()]
-                    p, q, s = held.value.scores(text_view(texts), meta_view(texts, *(b.column(k).to_pylist() for k in at[1:])))
+                    p, q, s = held.value.scores(text_view(b.column(at[0])), meta_view(*(b.column(k).to_pylist() for k in at[1:])))
                     keep = s >= held.value.least
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array(q), pa.array(s), pa.array(keep)], names=[*b.schema.names, "p_text", "p_meta", "quality_score", "keep"])
 
     schema = T.StructType(list(inner.schema.fields))
     for n, kind in (("p_text", "double"), ("p_meta", "double"), ("quality_score", "double"), ("keep", "boolean")):
         schema = schema.add(n, kind)
-    return inner.mapInArrow(work, schema).toDF(*names, "p_text", "p_meta", "quality_score", "keep")
+    return inner.mapInArrow(work, schema).toDF(*names, *common.free(("p_text", "p_meta", "quality_score", "keep"), names))

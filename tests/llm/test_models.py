@@ -5,8 +5,10 @@ import re
 import string
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
@@ -84,6 +86,95 @@ def test_templates_without_labels(spark):
     assert {got[u].verdict for u in ("http://s.test/b/1", "http://t.test/a/z/1", "http://u.test/a/z/1")} == {"allow"}
 
 
+def brute_judge(urls, bad, depth, fan, weight, reject, least, z):
+    """Templates, merged steps and verdicts of urls without rules, in plain Python."""
+    parts = []
+    for u in urls:
+        p = [x for x in brute_parts(u)[1].split("/") if x]
+        parts.append(p if len(p) <= depth else [*p[: depth - 1], "/".join(p[depth - 1 :])])
+    hosts = [brute_parts(u)[0] for u in urls]
+    steps = [() for _ in urls]
+    for level in range(depth):
+        children = {}
+        for h, s, p in zip(hosts, steps, parts):
+            if len(p) > level:
+                children.setdefault((h, s), set()).add(p[level])
+        new = []
+        for h, s, p in zip(hosts, steps, parts):
+            if len(p) > level:
+                own = children[h, s]
+                shapes = {re.sub("[0-9]+", "#", x) for x in own}
+                s += ((p[level] if len(own) <= fan else re.sub("[0-9]+", "#", p[level]) if len(shapes) <= fan else "*"),)
+            new.append(s)
+        steps = new
+
+    def similar(k, b, all_k, all_b):
+        share, others = all_b / max(all_k, 1), all_k - k
+        gap = abs(b / max(k, 1) - (all_b - b) / max(others, 1))
+        return k >= least and others >= least and gap <= z * (share * (1 - share) * (1 / max(k, 1) + 1 / max(others, 1))) ** 0.5
+
+    def sums(keys):
+        out = {}
+        for key, x in zip(keys, bad):
+            k, b = out.get(key, (0, 0))
+            out[key] = (k + (x is not None), b + (x or 0))
+        return out
+
+    merged = steps
+    for level in range(depth):
+        branch = sums([(h, m[: level + 1]) if len(m) > level else None for h, m in zip(hosts, merged)])
+        family = {}
+        for key, (k, b) in branch.items():
+            if key is not None:
+                x = family.setdefault((key[0], key[1][:-1]), [0, 0])
+                x[0], x[1] = x[0] + k, x[1] + b
+        merged = [(*m[:level], "~", *m[level + 1 :]) if len(m) > level and similar(*branch[h, m[: level + 1]], *family[h, m[:level]]) else m for h, m in zip(hosts, merged)]
+    pooled = sums(list(zip(hosts, merged)))
+    known, n_bad = sum(k for k, _ in pooled.values()), sum(b for _, b in pooled.values())
+    found = {}
+    for (h, m), own in pooled.items():
+        for level in reversed(range(depth)):
+            if own[0]:
+                break
+            branch = {}
+            for (h2, m2), (k, b) in pooled.items():
+                if h2 == h and m2[:level] == m[:level]:
+                    x = branch.setdefault(m2[: level + 1], [0, 0])
+                    x[0], x[1] = x[0] + k, x[1] + b
+            branch = {k: x for k, x in branch.items() if x[0]}
+            total = [sum(x[i] for x in branch.values()) for i in (0, 1)]
+            if len(branch) > 1 and all(similar(*x, *total) for x in branch.values()) or [k[-1:] for k in branch] == [("~",)]:
+                own = tuple(total)
+        found[h, m] = own[0], (own[1] + weight * n_bad / max(known, 1)) / (own[0] + weight)
+    return [(list(m), *found[h, m], "block" if found[h, m][0] and found[h, m][1] >= reject else "allow") for h, m in zip(hosts, merged)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_templates_merge_and_purity_equal_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    shares = {}
+    urls, bad = [], []
+    for _ in range(1500):
+        h = f"h{rng.integers(4)}.test"
+        p = [str(rng.choice(["a", "b", "c"])), str(rng.choice(["x", "y", f"{rng.integers(99)}", f"n{rng.integers(40)}"])), f"{rng.integers(30)}.html", "t", "u"][: rng.integers(0, 6)]
+        urls.append(f"http://{h}/" + "/".join(p) + rng.choice(["", "?q", "#f"]))
+        s = shares.setdefault((h, *p[:1]), rng.choice([0.05, 0.5, 0.97]))
+        bad.append(None if rng.random() < 0.3 or (h, *p[:2])[1:] == ("c", "x") else float(rng.random() < s))
+    rows = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(zip(urls, bad))], "page_id long, url string, own double")
+    got = {r.page_id: r for r in url_templates.judge(rows, [], F.col("own"), depth=3, fan=6).collect()}
+    want = brute_judge(urls, bad, 3, 6, 10.0, 0.8, 5, 1.96)
+    assert len(got) == len(urls) and {w[3] for w in want} == {"allow", "block"}
+    assert any("~" in w[0] for w in want)
+    for i, (steps, known, purity, verdict) in enumerate(want):
+        assert (got[i].merged, got[i].known, got[i].verdict) == (steps, known, verdict), urls[i]
+        assert got[i].purity == pytest.approx(purity)
+
+
+def test_some_pages_without_rule_are_judged_by_evidence(spark):
+    out = queries_models.op1_url_filter(spark, "/root/testdata/sf0.01").filter("rule is null")
+    assert out.filter("known > 0").count() > 0.9 * out.count()
+
+
 PIECE_TEXTS = [None, "", " ", "\n", "  a  b\n\tc é", "<s> hi </s> <0x0A> <unk>", "漢字 かな 😀 \U0001f468", "Hello World, it's 12345 don't   indented      here", "x" * 300, "аб вгд ελλην", "a\x00b\xa0c　d", "====== //// oooo    ", "tab\t\tend\n\n\n"]
 
 
@@ -114,7 +205,7 @@ def labelled(spark, n=400):
         good = bool(rng.random() < 0.8)
         w = list(rng.choice(words, 80))
         text = " ".join(w) if good else " ".join(x.upper() + "!!" for x in w)
-        docs.append((i, text, "en", f"s{i % 3}", len(text), "x"))
+        docs.append((i, text, "en", f"{'s' if good or i % 7 == 0 else 't'}{i % 3}", len(text), "x"))
         if i % 2:
             labels.append((i, good))
     docs += [(1000, None, None, None, None, None), (1001, "", "en", "s1", 0, ""), (None, "a b", "en", "s1", 3, "")]
@@ -123,8 +214,10 @@ def labelled(spark, n=400):
 
 def test_cotraining_separates_held_out_rows(spark):
     docs, labels, rows = labelled(spark)
-    model = cotraining.train(docs.drop("keep"), labels)
-    got = {r.doc_id: r for r in cotraining.score(docs.drop("keep"), model).collect()}
+    model = cotraining.train(docs.withColumn("y", F.lit("own")), labels)
+    scored = cotraining.score(docs, model)
+    assert scored.columns == [*docs.columns, "p_text", "p_meta", "quality_score", "keep_"]
+    got = {r.doc_id: r for r in scored.drop("keep").withColumnRenamed("keep_", "keep").collect()}
     assert len(got) == len(rows)
     wrong = [i for i, t, *_ in rows[:400] if got[i].keep == t.endswith("!!")]
     assert len(wrong) <= 2
@@ -144,8 +237,7 @@ def test_pseudo_labels_come_from_all_unlabelled_rows(spark):
     rng = np.random.default_rng(2)
     wt, wm = 3 * rng.normal(size=cotraining.TEXT_DIMS + 1), 3 * rng.normal(size=cotraining.META_DIMS + 1)
     free = [r for r in rows if r[0] is not None and not (r[0] < 400 and r[0] % 2)]
-    texts = [(r[1] or "").encode() for r in free]
-    views = cotraining.text_view(texts), cotraining.meta_view(texts, [r[3] for r in free], [r[2] for r in free], [r[4] for r in free])
+    views = cotraining.text_view(pa.array([r[1] for r in free])), cotraining.meta_view([r[3] for r in free], [r[2] for r in free], [r[4] for r in free])
     for taken in (set(), {0, 2, 4}):
         got = cotraining.surest(docs, told, wt, wm, taken, 20)
         for ids, x, w in zip(got, views, (wt, wm)):

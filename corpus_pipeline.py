@@ -7,9 +7,9 @@ a stage starts, since their results have been written by then.
 
 Stages and parameters:
 * quality: documents that the co-trained classifier rejects go. Rows with a null doc_id are judged too.
-* lines: lines held by at least 10 documents go; a document left without any text stays, empty.
-* near_duplicates: 5-word shingles, Jaccard 0.8 or more; of each component the document of the smallest doc_id
-  stays (of equal rows of that id one; rows with a null doc_id stay).
+* lines: lines held by at least 10 documents go; a document left without any text stays, empty. Extra columns with any names are carried.
+* near_duplicates: 5-word shingles, Jaccard 0.8 or more; of each component the row of the smallest doc_id stays (a null
+  id comes last; of rows of that id one, by a hash of the row). Rows without words are near nothing and stay.
 * substrings: words under a 50-word window that occurs anywhere else go; the others are joined by one space.
 * packing: pieces of at most 2048 tokens in as few sequences as minimum bin slack finds.
 """
@@ -17,7 +17,7 @@ Stages and parameters:
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import common, cotraining, jaccard, line_runs, packing, substring
@@ -27,36 +27,42 @@ from quillmark.llm.queries_models import fitted
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
     every = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return cotraining.score(docs, fitted(every, sf_dir)).filter("keep").select(*docs.columns)
+    out = cotraining.score(docs, fitted(every, sf_dir))
+    return out.filter(F.col(f"`{out.columns[-1]}`")).select(*(f"`{c}`" for c in docs.columns))
 
 
-def _texts(rows: DataFrame, columns: list[str], text: str) -> DataFrame:
+def _texts(rows: DataFrame, columns: list[str], text: Column) -> DataFrame:
     """``columns`` with the text replaced, and n_chars with it."""
-    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
     return rows.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
     out = line_runs.dedup(docs, min_docs=10)
-    return _texts(out.withColumn("_kept", line_runs.kept_text()), docs.columns, "_kept")
+    return _texts(out, docs.columns, F.col(f"`{out.columns[-1]}`"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
-    found = jaccard.classes(docs, n=5, num=80, den=100)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    # Different rows may share an id: one row of each id stays, and every row without an id.
-    one = kept.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return one.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    names = docs.columns
+    keys = common.free(("k1", "k2"), names)
+    # Rows are told apart by their whole content, since different rows may share an id or have none.
+    every = docs.select("*", *(k.alias(name) for k, name in zip(common.row_key(*(F.col(f"`{c}`") for c in names)), keys)))
+    found = jaccard.groups(every, ["doc_id", *keys], n=5, num=80, den=100).toDF("doc_id", "k1", "k2", "n_shingles", "comp")
+    least = found.filter("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("own"))
+    stay = common.materialise(least.select(F.col("own.k1").alias(keys[0]), F.col("own.k2").alias(keys[1])).distinct(), "stay", small=True)
+    # Equal rows become one before the join, in the map tasks first.
+    blank = F.length(F.trim(F.coalesce("text", F.lit("")), F.lit(common.BLANKS))) == 0
+    kept = every.filter(~blank).dropDuplicates(keys).join(stay, keys, "left_semi")
+    return kept.unionByName(every.filter(blank)).select(*(f"`{c}`" for c in names))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
     out = substring.dedup(docs, width=50)
-    changed = F.when(F.size("removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return _texts(out.withColumn("_kept", changed), docs.columns, "_kept")
+    removed, kept = (F.col(f"`{c}`") for c in out.columns[-2:])
+    return _texts(out, docs.columns, F.when(F.size(removed) > 0, kept).otherwise(F.col("text")))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,6 +108,13 @@ def style_score(rules: Rules, reply: Column, character: Column, text: Column | N
     return per_persona(rules, character, score)
 
 
+def mean6(x: Column) -> Column:
+    """Mean of figures that have six decimals, rounded half up to six, in whole millionths: no order of summing and no
+    way of rounding doubles can change it."""
+    n, millionths = F.count(x), F.sum(F.round(x * 1e6).cast("long"))
+    return F.floor((2 * millionths + n) / (F.lit(2.0) * n)) / F.lit(1e6)
+
+
 def opens_with_stock(rules: Rules, reply: Column, character: Column) -> Column:
     return per_persona(rules, character, lambda p: starts_any(marker_text(reply), p.openers))
 
@@ -124,7 +131,7 @@ def rule_metrics(rules: Rules, reply: Column, character: Column, hard: Column, s
         F.round(F.avg(hard.isNotNull().cast("double")), 6).alias("hard_violation_rate"),
         F.round(F.avg(titled), 6).alias("self_title_open_rate"),
         F.round(F.avg(opens_with_stock(rules, reply, character).cast("double")), 6).alias("stock_opener_rate"),
-        F.round(F.avg(style), 6).alias("style_score_mean"),
+        mean6(style).alias("style_score_mean"),
         F.round(F.avg(F.length(reply)), 6).alias("length_mean"),
         F.round(F.avg(has_marker(rules, reply, character).cast("double")), 6).alias("marker_rate"),
     ]

@@ -89,6 +89,21 @@ def order_probe(judged: DataFrame, repeat_agrees) -> DataFrame:
     )
 
 
+def order_probe_reasons(judged: DataFrame) -> DataFrame:
+    """(reason, n) of the cases that are not usable: why the call failed, a verdict that follows the position, or,
+    for pairs that were not probed at all, "skipped" and why. Skipped pairs are in no denominator of order_probe()."""
+    skipped = F.col("status").isin("hard", "identical", "empty")
+    reason = F.when(skipped, F.concat(F.lit("skipped "), F.col("status"))).when(F.col("status") != "ok", F.coalesce("unusable", F.lit("unusable"))).when(F.col("order_inconsistent"), "order_inconsistent")
+    return judged.withColumn("reason", reason).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def base_violations(rows: DataFrame, rules: Rules) -> DataFrame:
+    """(reason, n) of base replies (character, reply, given as they are) that break a rule; an empty reply is an error."""
+    reply = F.when(F.length(F.trim("reply")) > 0, F.col("reply")).otherwise(F.raise_error(F.lit("an empty base reply")).cast("string"))
+    checked = R.pin(rows, reply=reply)
+    return checked.select(R.hard_violation(rules, F.col("reply"), F.col("character")).alias("reason")).filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def survey_rows(scored: DataFrame, *by: str) -> DataFrame:
     """Diversity of the samples of each prompt, on cleaned replies."""
     return scored.groupBy(*by).agg(

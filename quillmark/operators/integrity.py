@@ -18,6 +18,18 @@ def hash_drift(found: DataFrame, frozen: DataFrame) -> DataFrame:
     return j.select("file", problem.alias("problem")).filter("problem is not null")
 
 
+#: Suffixes of files whose loading runs code.
+PICKLED = (".pt", ".pth", ".bin")
+
+
+def checkpoint_drift(found: DataFrame, recorded: DataFrame) -> DataFrame:
+    """hash_drift() of a checkpoint that may hold more files than were recorded, but no more pickles."""
+    code = F.lit(False)
+    for suffix in PICKLED:
+        code = code | F.col("file").endswith(suffix)
+    return hash_drift(found, recorded).filter((F.col("problem") != "unrecorded") | code)
+
+
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 

@@ -56,6 +56,23 @@ def opener_pairs(rows: DataFrame, count: int, first: str, seed: str) -> DataFram
     return both.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= want).drop("n")
 
 
+def label_set(kinds: list[tuple[str, DataFrame, int]], seed: str) -> DataFrame:
+    """One label set of several kinds of pairs: (kind, row_id, reply, ...). Of each kind in turn a seeded sample of at
+    most its count is taken from the pairs whose (row_id, reply) no kind before has; columns that a kind lacks are null."""
+    out = None
+    for kind, pairs, count in kinds:
+        one = pairs.dropDuplicates(["row_id", "reply"])
+        if out is not None:
+            one = one.join(out.select("row_id", "reply"), ["row_id", "reply"], "left_anti")
+        one = hash_sample(one, f"{seed}|{kind}", "row_id", count).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def kind_counts(chosen: DataFrame) -> DataFrame:
+    return chosen.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def blind(pairs: DataFrame, seed: str) -> DataFrame:
     """Items in shuffled order under ids q001, q002, ..., sides swapped by a hash bit. ``pairs``: kind, row_id,
     first, second. A label set is a few hundred rows, so numbering them in one task is bounded."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -103,6 +103,49 @@ def faulty(judge: Judge) -> Judge:
     return work
 
 
+def retried(judge: Callable[[DataFrame, int], DataFrame], retries: int = 1, budget: int | None = None) -> Judge:
+    """A judge that asks once more for what did not come back as ok, with every attempt recorded as a row of ``attempts``
+    (attempt, status). ``judge(pending, attempt)`` gives calls; ``budget`` is what each rank of a batch may spend: first
+    attempts take from it before any retry, in the order of their keys, and what it does not reach is an inference_error."""
+    if retries not in (0, 1):
+        raise ValueError("at most one retry")
+
+    def work(pending: DataFrame) -> DataFrame:
+        on, batch = ["batch", "rank", "key"], Window.partitionBy("batch", "rank")
+        number = F.row_number().over(batch.orderBy("key"))
+        within = lambda room: F.lit(True) if budget is None else number <= room
+        asked = pending.withColumn("reached", within(F.lit(budget)))
+        one = _calls(judge(asked.filter("reached").drop("reached"), 1))
+        missed = asked.filter("not reached").select(*on)
+        if retries:
+            spare = F.greatest(F.lit(budget) - F.col("wanted"), F.lit(0)) if budget is not None else None
+            wanted = pending.groupBy("batch", "rank").agg(F.count(F.lit(1)).alias("wanted"))
+            failed = pending.join(one.filter("status <> 'ok'").select(*on), on, "left_semi").join(wanted, ["batch", "rank"])
+            again = failed.withColumn("reached", within(spare)).filter("reached").drop("reached", "wanted")
+            two = _calls(judge(again, 2)).select(*on, F.struct("status", "winner", *SCORES).alias("second"))
+        else:
+            two = one.limit(0).select(*on, F.struct("status", "winner", *SCORES).alias("second"))
+        both = one.join(two, on, "left")
+        tries = F.filter(F.array(F.struct(F.lit(1).alias("attempt"), F.col("status")), F.struct(F.lit(2).alias("attempt"), F.col("second.status").alias("status"))), lambda t: t["status"].isNotNull())
+        last = lambda c: F.when(F.col("second").isNotNull(), F.col(f"second.{c}")).otherwise(F.col(c)).alias(c)
+        done = both.select(*on, *(last(c) for c in ("status", "winner", *SCORES)), tries.alias("attempts"))
+        lost = missed.select(*on, F.lit("inference_error").alias("status"), F.lit("budget exhausted").alias("error"))
+        return done.unionByName(lost, allowMissingColumns=True)
+
+    return work
+
+
+def flaky(judge: Judge, broken_once, broken_twice) -> Callable[[DataFrame, int], DataFrame]:
+    """A judge for retried() whose first answer is unreadable where ``broken_once`` holds, and its second where ``broken_twice`` does."""
+
+    def work(pending: DataFrame, attempt: int) -> DataFrame:
+        broken = broken_twice if attempt > 1 else broken_once | broken_twice
+        calls = judge(pending).withColumn("broken", broken)
+        return _calls(calls.select("batch", "rank", "key", F.when(F.col("broken"), "parse_error").otherwise(F.col("status")).alias("status"), *(F.when(~F.col("broken"), F.col(c)).alias(c) for c in ("winner", *SCORES))))
+
+    return work
+
+
 def outcomes(asked: DataFrame, calls: DataFrame) -> DataFrame:
     """One row per judged sample: policy and base totals of both orders, margin, verdict, flags, or why it is unusable."""
     j = asked.select("batch", "rank", "row_id", "reverse", "key").join(calls, ["batch", "rank", "key"], "left")
@@ -146,12 +189,13 @@ def outcomes(asked: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
-def judged(samples: DataFrame, rules: Rules, judge: Judge) -> tuple[DataFrame, DataFrame]:
-    """(samples with their outcome, status and value; requests)."""
-    scored = score_samples(samples, rules)
+def judged(samples: DataFrame, rules: Rules, judge: Judge, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(samples with their outcome, status and value; requests). ``keep`` may write the scored and the judged samples
+    and read them back, for reports that branch on them."""
+    scored = keep(score_samples(samples, rules))
     asked = requests(scored)
     found = outcomes(asked, judge(pending(asked)))
     out = scored.join(found, ["batch", "rank", "row_id"], "left")
     out = R.pin(out, status=F.when(F.col("hard").isNotNull(), "hard").when(F.col("reply") == F.col("base"), "identical").when(F.col("unusable").isNotNull() | F.col("margin").isNull(), "unusable").otherwise("ok"))
     value = F.when(F.col("status") == "hard", -1.0).when(F.col("status") == "identical", 0.0).otherwise(F.col("margin"))
-    return R.pin(out, value=value), asked
+    return keep(R.pin(out, value=value)), asked

@@ -43,8 +43,8 @@ def batch_metrics(judged: DataFrame, asked: DataFrame, decided: DataFrame, rules
     per = judged.groupBy("batch").agg(
         *R.rule_metrics(rules, F.col("reply"), F.col("character"), F.col("hard"), F.col("style")),
         c(F.col("status") == "hard").alias("hard"),
-        F.round(F.avg("value"), 6).alias("reward_mean"),
-        F.round(F.avg("margin"), 6).alias("margin_mean"),
+        R.mean6(F.col("value")).alias("reward_mean"),
+        R.mean6(F.col("margin")).alias("margin_mean"),
         F.round(F.avg(F.when(ok, (F.col("margin") > 0).cast("double"))), 6).alias("margin_positive_rate"),
         F.round(F.avg("policy_prn"), 6).alias("policy_prn_mean"),
         F.round(F.avg("base_prn"), 6).alias("base_prn_mean"),

@@ -1,9 +1,10 @@
 """The driver's tables as reward-analytics inputs.
 
-A document's first line is a reply; its language decides the persona; eight consecutive documents form
-a group, five groups a batch, half a batch a rank. The group's smallest doc_id gives the base reply.
-What the corpus lacks (quotes, think blocks, speaker prefixes, ellipses, second lines) is put on by
-doc_id modulo 20. The same rules stand in SQL in plans/sql.py.
+Every line of a document is a reply; the document's language decides the persona. The corpus is passed once
+per line number: row_id = SPAN * line + doc_id, with lines counted from 0, so that in each pass eight consecutive
+documents form a group, five groups a batch, half a batch a rank. Documents with fewer lines leave gaps. The group's
+smallest row_id gives the base reply. What the corpus lacks (quotes, think blocks, speaker prefixes, ellipses, second
+lines) is put on by row_id modulo 20. The same rules stand in SQL in plans/sql.py. Ids lie below SPAN.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ RULES = Rules(
     self_title_persona="a",
 )
 GROUP, BATCH = 8, 40
+#: Rows of one pass at most: a multiple of BATCH, above every doc_id.
+SPAN = 40_000_000_000
 
 
 def decorated(line, k):
@@ -44,19 +47,19 @@ def decorated(line, k):
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    d = d.withColumn("reply", decorated(F.split(F.coalesce("text", F.lit("")), "\n", 2)[0], F.col("doc_id") % 20))
-    d = d.withColumn("character", F.when(F.col("lang").isin("en", "de"), "a").otherwise("b"))
+    d = d.select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pass", "given"))
+    d = d.withColumn("row_id", F.col("pass").cast("long") * SPAN + F.col("doc_id"))
     d = d.select(
-        F.col("doc_id").alias("row_id"),
-        F.floor(F.col("doc_id") / BATCH).alias("batch"),
-        F.floor((F.col("doc_id") % BATCH) / 20).alias("rank"),
-        (F.col("doc_id") % 20).alias("pos"),
-        F.floor(F.col("doc_id") / GROUP).alias("grp"),
-        "character",
+        "row_id",
+        F.floor(F.col("row_id") / BATCH).alias("batch"),
+        F.floor((F.col("row_id") % BATCH) / 20).alias("rank"),
+        (F.col("row_id") % 20).alias("pos"),
+        F.floor(F.col("row_id") / GROUP).alias("grp"),
+        F.when(F.col("lang").isin("en", "de"), "a").otherwise("b").alias("character"),
         F.col("source").alias("situation"),
         F.col("lang").alias("speaker"),
         F.lit("line").alias("line"),
-        "reply",
+        decorated(F.col("given"), F.col("row_id") % 20).alias("reply"),
     )
     # The eight rows of a group; its base reply is that of its first row.
     first = Window.partitionBy("grp").orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -14,9 +14,9 @@ from ..operators import labels as L
 from ..operators import pairs as P
 from ..operators import reward as W
 from ..operators import stats as S
-from ..session import table
+from ..session import table, written
 from . import demo
-from .sql import METRICS, over
+from .sql import METRICS, mean6, over
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,13 +37,14 @@ def _scored(spark, d) -> DataFrame:
 
 
 def _judged(spark, d) -> tuple[DataFrame, DataFrame]:
-    return P.judged(demo.samples(spark, d), demo.RULES, P.faulty(P.stub_judge))
+    """Samples are scored once and judged once: both are written, since every report branches on them."""
+    return P.judged(demo.samples(spark, d), demo.RULES, P.faulty(P.stub_judge), written)
 
 
 def _human(spark, d) -> DataFrame:
     """Document quality as a stand-in for a human's preference, the rule score as the judge's."""
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("row_id"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("human")).distinct()
-    return _scored(spark, d).join(labels, "row_id").select("row_id", "character", "reply", "human", F.round(F.col("style") - 0.6, 6).alias("judge"))
+    labels = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, 1).otherwise(-1).alias("human")).distinct()
+    return _scored(spark, d).withColumn("doc_id", F.col("row_id") % demo.SPAN).join(labels, "doc_id").select("row_id", "character", "reply", "human", F.round(F.col("style") - 0.6, 6).alias("judge"))
 
 
 @query(over("cleaned", "SELECT row_id, reply, base FROM cleaned"))
@@ -404,13 +405,13 @@ def win_loss_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT count(*) FILTER (WHERE quality = 1) AS wins, count(*) FILTER (WHERE quality = 0) AS losses FROM labels WHERE doc_id < 40),
+    """WITH c AS (SELECT count(*) FILTER (WHERE quality = 1) AS wins, count(*) FILTER (WHERE quality = 0) AS losses FROM labels),
 t AS (SELECT wins, losses, wins + losses AS n, unnest(range(0, least(wins, losses) + 1)) AS i FROM c)
 SELECT any_value(wins) AS wins, any_value(losses) AS losses, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))), 6) AS p_value FROM t"""
 )
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
-    """The first label page of forty documents, as a paired trial of good against bad."""
-    return S.sign_test(table(spark, d, "labels").filter("doc_id < 40"), F.col("quality") == 1, F.col("quality") == 0)
+    """All labels as a paired trial of good against bad."""
+    return S.sign_test(table(spark, d, "labels"), F.col("quality") == 1, F.col("quality") == 0)
 
 
 @query(
@@ -426,12 +427,12 @@ def mcnemar(spark: SparkSession, d: str) -> DataFrame:
     return S.mcnemar(s, F.col("hard").isNotNull(), F.length("reply") > 500)
 
 
-@query(over("per_batch", "SELECT (SELECT round(avg(style_score_mean), 6) FROM (SELECT * FROM per_batch ORDER BY batch LIMIT 20)) AS first_mean, (SELECT round(avg(style_score_mean), 6) FROM (SELECT * FROM per_batch ORDER BY batch DESC LIMIT 20)) AS last_mean"))
+@query(over("per_batch", f"SELECT (SELECT {mean6('style_score_mean')} FROM (SELECT * FROM per_batch ORDER BY batch LIMIT 20)) AS first_mean, (SELECT {mean6('style_score_mean')} FROM (SELECT * FROM per_batch ORDER BY batch DESC LIMIT 20)) AS last_mean"))
 def curve_first_last(spark: SparkSession, d: str) -> DataFrame:
     return S.curve_ends(_metrics(spark, d), "batch", "style_score_mean")
 
 
-@query(over("per_batch", "SELECT batch // 10 AS block, count(*) AS steps, round(avg(style_score_mean), 6) AS block_mean FROM per_batch GROUP BY 1"))
+@query(over("per_batch", f"SELECT batch // 10 AS block, count(*) AS steps, {mean6('style_score_mean')} AS block_mean FROM per_batch GROUP BY 1"))
 def curve_blocks(spark: SparkSession, d: str) -> DataFrame:
     return S.curve_blocks(_metrics(spark, d), "batch", "style_score_mean")
 
@@ -484,3 +485,45 @@ def judge_payloads(spark: SparkSession, d: str) -> DataFrame:
     items = evidence(demo.RULES, c, *args)
     pair = within_budget(pair_payload(demo.RULES, c, items, F.col("reply"), F.col("base")), 1 << 20)
     return s.select("row_id", pair.alias("pair"), attribution_payload(demo.RULES, F.lit(False), *args, F.col("reply")).alias("attribution"), policy_prompt(demo.RULES, c, *args).alias("prompt"), F.array_join(allowed_citations(items), ",").alias("citations"))
+
+
+@query(
+    over(
+        "stub",
+        """SELECT attempts, status, count(*) AS n FROM (SELECT DISTINCT batch, rank, key, CASE WHEN h IN ('0', '4') THEN 2 ELSE 1 END AS attempts, CASE WHEN h = '0' THEN 'parse_error' ELSE 'ok' END AS status FROM stub) GROUP BY ALL""",
+    )
+)
+def judge_retries(spark: SparkSession, d: str) -> DataFrame:
+    """One request in sixteen is unreadable twice, one more only at first: attempts and final status."""
+    h = F.substring(F.md5(F.col("key").cast("binary")), 1, 1)
+    judge = P.retried(P.flaky(P.stub_judge, h == "4", h == "0"))
+    return judge(P.pending(P.requests(_scored(spark, d)))).groupBy(F.size("attempts").alias("attempts"), "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    over(
+        "cleaned",
+        """, o AS (SELECT DISTINCT row_id, reply FROM cleaned WHERE reply <> base),
+t AS (SELECT * FROM o ORDER BY md5('s|test|' || row_id), row_id LIMIT 30),
+u AS (SELECT * FROM o WHERE row_id % 2 = 0 AND row_id NOT IN (SELECT row_id FROM t) ORDER BY md5('s|train|' || row_id), row_id LIMIT 40),
+v AS (SELECT * FROM o WHERE length(reply) > 20 AND row_id NOT IN (SELECT row_id FROM t) AND row_id NOT IN (SELECT row_id FROM u) ORDER BY md5('s|opener|' || row_id), row_id LIMIT 30)
+SELECT kind, count(*) AS n, CAST(sum(row_id % 1000) AS BIGINT) AS row_sum FROM (SELECT 'test' AS kind, row_id FROM t UNION ALL SELECT 'train', row_id FROM u UNION ALL SELECT 'opener', row_id FROM v) GROUP BY kind""",
+    ).replace("\n, o AS", ", o AS")
+)
+def label_set_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """A label set of three kinds, none of which repeats a pair of another; the sizes are the feature."""
+    s = _scored(spark, d).filter(F.col("reply") != F.col("base")).select("row_id", "reply", "base")
+    chosen = L.label_set([("test", s, 30), ("train", s.filter("row_id % 2 = 0"), 40), ("opener", s.filter("length(reply) > 20"), 30)], "s")
+    return chosen.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("row_id") % 1000).alias("row_sum"))
+
+
+@query(over("final", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN status IN ('hard', 'identical') THEN 'skipped ' || status WHEN status <> 'ok' THEN unusable WHEN order_inconsistent THEN 'order_inconsistent' END AS reason FROM final) WHERE reason IS NOT NULL GROUP BY reason"))
+def order_probe_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return E.order_probe_reasons(_judged(spark, d)[0])
+
+
+@query(over("scored", "SELECT hard AS reason, count(*) AS n FROM scored WHERE hard IS NOT NULL AND length(trim(reply)) > 0 GROUP BY hard"))
+def base_violation_hist(spark: SparkSession, d: str) -> DataFrame:
+    """All cleaned replies that hold anything, as base replies."""
+    rows = _scored(spark, d).select("character", "reply").filter(F.length(F.trim("reply")) > 0)
+    return E.base_violations(rows, demo.RULES)

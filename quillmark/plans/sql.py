@@ -6,6 +6,10 @@ _A = {"markers": ("the", "and", "tion"), "anti": ("que", "ç", "!"), "open": ("T
 _B = {"markers": ("que", "eau", "ç"), "anti": ("the", "and", "!"), "open": ("Le", "De"), "foreign": ("###",), "other": "Alba", "soft": (20, 120, 400)}
 
 
+def mean6(x: str) -> str:
+    return f"floor((2 * sum(CAST(round({x} * 1e6) AS BIGINT)) + count({x})) / (2e0 * count({x}))) / 1e6"
+
+
 def _has(x: str, parts) -> str:
     return "(" + (" OR ".join(f"contains({x}, '{p}')" for p in parts) or "false") + ")"
 
@@ -50,9 +54,10 @@ def _by(make) -> str:
 
 
 CTES = {
-    "raw": """SELECT doc_id AS row_id, doc_id // 40 AS batch, (doc_id % 40) // 20 AS rank, doc_id % 20 AS pos, doc_id // 8 AS grp,
-      CASE WHEN lang IN ('en', 'de') THEN 'a' ELSE 'b' END AS character, source AS situation, lang AS speaker, 'line' AS line,
-      split_part(coalesce(text, ''), chr(10), 1) AS l, doc_id % 20 AS k FROM documents""",
+    "raw": """SELECT row_id, row_id // 40 AS batch, (row_id % 40) // 20 AS rank, row_id % 20 AS pos, row_id // 8 AS grp,
+      CASE WHEN lang IN ('en', 'de') THEN 'a' ELSE 'b' END AS character, source AS situation, lang AS speaker, 'line' AS line, l, row_id % 20 AS k FROM (
+      SELECT doc_id + 40000000000 * (generate_subscripts(ls, 1) - 1) AS row_id, lang, source, unnest(ls) AS l FROM (
+        SELECT *, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))""",
     "decorated": """SELECT * EXCLUDE (l, k), CASE k WHEN 1 THEN '「' || l || '」' WHEN 2 THEN '<think>' || chr(10) || '</think>' || chr(10) || l WHEN 3 THEN 'Alba:' || l
       WHEN 4 THEN l || '....' WHEN 5 THEN l || '…' WHEN 6 THEN l || chr(10) || 'next' WHEN 7 THEN 'I am Alba, I am Bruno. ' || l ELSE l END AS given FROM raw""",
     "based": "SELECT *, first_value(given) OVER (PARTITION BY grp ORDER BY row_id) AS given_base FROM decorated",
@@ -87,7 +92,7 @@ CTES = {
     "rewarded": "SELECT final.*, rejected, CASE WHEN NOT rejected THEN value END AS reward FROM final JOIN grouped USING (batch, grp)",
     "reused": "SELECT batch, rank, count(DISTINCT key) AS judge_calls, count(*) - count(DISTINCT key) AS reused_requests FROM asked GROUP BY batch, rank",
     "per_batch": """SELECT f.*, groups, rejected_groups, varied_groups, coalesce(judge_calls, 0) AS judge_calls, coalesce(reused_requests, 0) AS reused_requests FROM (
-      SELECT batch, {metrics}, count(*) FILTER (WHERE status = 'hard') AS hard, round(avg(value), 6) AS reward_mean, round(avg(margin), 6) AS margin_mean,
+      SELECT batch, {metrics}, count(*) FILTER (WHERE status = 'hard') AS hard, {value6} AS reward_mean, {margin6} AS margin_mean,
         round(avg(CASE WHEN status = 'ok' THEN CAST(margin > 0 AS DOUBLE) END), 6) AS margin_positive_rate, round(avg(policy_prn), 6) AS policy_prn_mean, round(avg(base_prn), 6) AS base_prn_mean,
         round(avg(CAST(status = 'identical' AS DOUBLE)), 6) AS identical_rate, count(*) FILTER (WHERE status = 'identical') AS skipped_identical, round(avg(verdict), 6) AS win_rate_vs_base,
         count(*) FILTER (WHERE order_inconsistent) AS order_inconsistent, round(avg(CASE WHEN status = 'ok' THEN CAST(order_inconsistent AS DOUBLE) END), 6) AS order_inconsistent_rate, 0 AS off_topic
@@ -98,14 +103,14 @@ CTES = {
       CASE WHEN substr(md5(CAST(u.conv_id AS VARCHAR)), 1, 1) < '4' THEN 'test' ELSE 'train' END AS split
       FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'""",
     "human": """SELECT f.row_id, f.character, CASE WHEN l.quality = 1 THEN 1 ELSE -1 END AS human, round(f.style - 0.6e0, 6) AS judge
-      FROM scored f JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = f.row_id""",
+      FROM scored f JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = f.row_id % 40000000000""",
 }
 
 METRICS = f"""count(*) AS samples, round(avg(CAST(hard IS NOT NULL AS DOUBLE)), 6) AS hard_violation_rate,
   round(avg(CASE WHEN character = 'a' THEN CAST(starts_with(reply, 'Th') AS DOUBLE) END), 6) AS self_title_open_rate,
-  round(avg(CAST({_by(lambda p: _starts("m", p["open"]))} AS DOUBLE)), 6) AS stock_opener_rate, round(avg(style), 6) AS style_score_mean,
+  round(avg(CAST({_by(lambda p: _starts("m", p["open"]))} AS DOUBLE)), 6) AS stock_opener_rate, {mean6('style')} AS style_score_mean,
   round(avg(length(reply)), 6) AS length_mean, round(avg(CAST({_by(lambda p: _has("m", p["markers"]))} AS DOUBLE)), 6) AS marker_rate"""
-CTES["per_batch"] = CTES["per_batch"].replace("{metrics}", METRICS)
+CTES["per_batch"] = CTES["per_batch"].replace("{metrics}", METRICS).replace("{value6}", mean6("value")).replace("{margin6}", mean6("margin"))
 
 #: What each named table is built from, in order.
 ORDER = ("raw", "decorated", "based", "cleaned", "marked", "scored", "asked", "stub", "judged", "sides", "outcome", "final", "grouped", "rewarded", "reused", "per_batch")

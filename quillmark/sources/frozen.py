@@ -44,8 +44,10 @@ def freeze(spark: SparkSession, path: str, schema: str) -> DataFrame:
 SUITE_FREEZE = "files map<string,string>, persona_sha256 string, split string, seed int, test_templates array<string>, rows struct<train:int,test:int>, source string"
 
 
-def check_suite(spark: SparkSession, folder: str, rules: Rules) -> DataFrame:
-    """(problem, detail) of a frozen suite: file set, hashes, persona, row keys, ids, split."""
+def check_suite(spark: SparkSession, folder: str, rules: Rules, personas: str | None = None) -> DataFrame:
+    """(problem, detail) of a frozen suite: file set, hashes, persona, row keys, ids, split. ``personas`` is the identity
+    that the freeze must name; by default that of the rules."""
+    personas = persona_identity(rules) if personas is None else personas
     frozen = freeze(spark, f"{folder}/freeze.json", SUITE_FREEZE)
     wanted = frozen.select(F.explode("files").alias("file", "sha256"))
     found = I.digests(spark, f"{folder}/{{train,test}}.json")
@@ -56,7 +58,7 @@ def check_suite(spark: SparkSession, folder: str, rules: Rules) -> DataFrame:
         filled = filled & F.col(k).isNotNull()
     problems = [
         I.hash_drift(found, wanted).select(F.col("problem"), F.col("file").alias("detail")),
-        frozen.filter(~F.col("persona_sha256").eqNullSafe(persona_identity(rules))).select(F.lit("persona").alias("problem"), F.col("persona_sha256").alias("detail")),
+        frozen.filter(~F.col("persona_sha256").eqNullSafe(personas)).select(F.lit("persona").alias("problem"), F.col("persona_sha256").alias("detail")),
         rows.filter((F.sort_array("keys") != known) | ~filled).select(F.lit("row keys").alias("problem"), F.col("id").alias("detail")),
         rows.filter(~F.col("character").isin(*(p.key for p in rules.personas))).select(F.lit("character").alias("problem"), F.col("id").alias("detail")),
         I.duplicates(rows, "id").select(F.lit("duplicate id").alias("problem"), F.col("id").alias("detail")),
@@ -74,19 +76,18 @@ def _refuse(problems: DataFrame) -> None:
         raise ValueError(f"frozen data refused: {first[0].problem}: {first[0].detail}")
 
 
-def load_suite(spark: SparkSession, folder: str, rules: Rules) -> DataFrame:
+def load_suite(spark: SparkSession, folder: str, rules: Rules, personas: str | None = None) -> DataFrame:
     """Rows of both splits with their split, or an error."""
-    _refuse(check_suite(spark, folder, rules))
+    _refuse(check_suite(spark, folder, rules, personas))
     return suite_rows(spark, folder).drop("keys")
 
 
-def select_character(rows: DataFrame, rules: Rules, character: str | None) -> DataFrame:
-    """All rows, or one character's; an unknown character is an error."""
-    if character is None:
-        return rows
-    if character not in {p.key for p in rules.personas}:
-        raise ValueError(f"unknown character: {character}")
-    return rows.filter(F.col("character") == character)
+def select_character(rows: DataFrame, rules: Rules, *characters: str) -> DataFrame:
+    """Rows of the given characters, by default of all; one that the rules do not know is an error."""
+    known = [p.key for p in rules.personas]
+    if odd := sorted({*characters} - {*known}):
+        raise ValueError(f"unknown character: {odd[0]}")
+    return rows.filter(F.col("character").isin(*(characters or known)))
 
 
 def base_replies(spark: SparkSession, path: str) -> DataFrame:
@@ -98,8 +99,10 @@ def check_base_replies(spark: SparkSession, folder: str, suite: str, rows: DataF
     """(problem, detail): reply bytes, the suite's freeze, and exact coverage of the suite's ids."""
     frozen = freeze(spark, f"{folder}/freeze.json", "replies_sha256 string, suite_freeze_sha256 string")
     one = lambda path, field: I.digests(spark, path).join(frozen).filter(F.col("sha256") != F.col(field)).select(F.lit("changed").alias("problem"), F.col("file").alias("detail"))
+    kinds = read_text(spark, f"{folder}/replies.json").select(F.explode(F.from_json("value", "map<string,variant>")).alias("row_id", "v"))
+    odd = kinds.filter(F.schema_of_variant("v") != "STRING").select(F.lit("not a text").alias("problem"), F.col("row_id").alias("detail"))
     cover = I.coverage(rows.select(F.col("id").alias("row_id")), base_replies(spark, f"{folder}/replies.json"), "row_id")
-    return one(f"{folder}/replies.json", "replies_sha256").unionByName(one(f"{suite}/freeze.json", "suite_freeze_sha256")).unionByName(cover.select(F.col("side").alias("problem"), F.col("row_id").alias("detail")))
+    return one(f"{folder}/replies.json", "replies_sha256").unionByName(one(f"{suite}/freeze.json", "suite_freeze_sha256")).unionByName(odd).unionByName(cover.select(F.col("side").alias("problem"), F.col("row_id").alias("detail")))
 
 
 def load_base_replies(spark: SparkSession, folder: str, suite: str, rows: DataFrame) -> DataFrame:
@@ -151,8 +154,21 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+def write_document(spark: SparkSession, value, path: str) -> None:
+    """One JSON document in one part file of a folder that must not exist."""
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def read_document(spark: SparkSession, path: str):
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
 def write_freeze(spark: SparkSession, files: str, out: str, **more) -> dict:
-    """A manifest of the files' hashes as one write-once JSON document; a handful of files."""
+    """A manifest of a handful of files' hashes, written once and read back: an error if it or a file differs by then."""
     manifest = {"files": {r.file: r.sha256 for r in I.digests(spark, files).collect()}, **more}
-    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(out)
+    write_document(spark, manifest, out)
+    back = read_document(spark, out)
+    frozen = spark.createDataFrame(list(back["files"].items()), "file string, sha256 string")
+    if back != json.loads(json.dumps(manifest)) or not I.hash_drift(I.digests(spark, files), frozen).isEmpty():
+        raise ValueError("the freeze does not match its files")
     return manifest

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,32 @@ def render_page(items: DataFrame, set_id: str, template: str, mark: str = "/*LAB
     return template.replace(mark, page_payload(items, set_id).first().payload)
 
 
+def write_answer_key(key: DataFrame, set_id: str, path: str) -> None:
+    """The answer key of a label page, apart from it, as one write-once JSON document; a set is a few hundred items."""
+    entry = F.struct(*(c for c in key.columns if c != "id"))
+    items = key.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("id"), entry)))).alias("items"))
+    items.select(F.to_json(F.struct(F.lit(set_id).alias("set_id"), "items")).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+
+
+RECORD = "run string, kind string, at timestamp, body string"
+
+
+def append_record(spark: SparkSession, run: str, kind: str, body: dict, path: str) -> None:
+    """A run's manifest, invocation, failure, resume or verification, as a row that is only ever added."""
+    row = spark.createDataFrame([(run, kind, json.dumps(body, sort_keys=True))], "run string, kind string, body string")
+    row.withColumn("at", F.current_timestamp()).select("run", "kind", "at", "body").write.mode("append").partitionBy("run").parquet(path)
+
+
+def records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    out = spark.read.schema(RECORD).parquet(path)
+    return out if kind is None else out.filter(F.col("kind") == kind)
+
+
+def manifest_rows(found: DataFrame) -> DataFrame:
+    """(run, key, value) of the bodies of records, as integrity.manifest_drift() compares them."""
+    return found.select("run", F.explode(F.from_json("body", "map<string,string>")).alias("key", "value"))
+
+
 def batch_name(serial):
     return F.format_string("rewards_%05d", serial)
 

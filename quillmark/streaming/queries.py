@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pairs as P
 from ..plans import demo
+from ..session import shared_folder
 from . import rewards
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillmark-stream-")
-    return f"{root.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
-
-
 def reward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch metrics of all samples, fed through Structured Streaming from files."""
-    root = _folder(spark)
+    root = shared_folder(spark, "stream")
     rows = demo.samples(spark, sf_dir)
     rows.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")

@@ -129,6 +129,9 @@ def test_base_replies_must_cover_the_suite(spark, tmp_path):
 
     freeze({"T1-L1-rei": "a", "T2-L1-asuka": "b"})
     assert frozen.load_base_replies(spark, str(base), str(folder), rows).count() == 2
+    freeze({"T1-L1-rei": "a", "T2-L1-asuka": 5})
+    with pytest.raises(ValueError, match="not a text"):
+        frozen.load_base_replies(spark, str(base), str(folder), rows)
     freeze({"T1-L1-rei": "a", "other": "b"})
     with pytest.raises(ValueError, match="without"):
         frozen.load_base_replies(spark, str(base), str(folder), rows)
@@ -197,7 +200,8 @@ def test_a_stuck_stream_is_told(spark):
 def test_settings():
     assert settings_of("# c\nA = 'x y'\nB=2\n") == {"A": "x y", "B": "2"}
     assert config.settings("A=1", ("A",), {"A": "9", "Z": "0"}) == {"A": "9"}
-    for bad in ("C=1", "A=1\nA=2", "novalue"):
+    assert settings_of("\ufeff\n  # c\nA=\"it's\"\nB = x#y ") == {"A": "it's", "B": "x#y"}
+    for bad in ("C=1", "A=1\nA=2", "novalue", "A='open", 'A="', "a=1", "=1", "A='x' y"):
         with pytest.raises(ValueError):
             settings_of(bad)
 
@@ -206,6 +210,114 @@ def settings_of(text):
     return config.settings(text, ("A", "B"), {})
 
 
+def test_settings_file(tmp_path):
+    (tmp_path / "env").write_text("A=1\n")
+    assert config.settings_file(str(tmp_path / "env"), ("A",), {}) == {"A": "1"} and config.settings_file(None, ("A",), {"A": "2"}) == {"A": "2"}
+    with pytest.raises(FileNotFoundError):
+        config.settings_file(str(tmp_path / "none"), ("A",), {})
+
+
+def test_a_suite_frozen_elsewhere_names_its_own_identity(spark, tmp_path):
+    folder = suite(tmp_path)
+    held = json.loads((folder / "freeze.json").read_text())
+    (folder / "freeze.json").write_text(json.dumps({**held, "persona_sha256": "f" * 64}))
+    with pytest.raises(ValueError, match="persona"):
+        frozen.load_suite(spark, str(folder), STYLE_RULES)
+    assert frozen.load_suite(spark, str(folder), STYLE_RULES, "f" * 64).count() == 2
+
+
+def test_canon(spark, tmp_path):
+    entry = {"episode": "e1", "context": "c", "line": "l"}
+
+    def freeze(held):
+        raw = json.dumps(held).encode()
+        (tmp_path / "canon.json").write_bytes(raw)
+        (tmp_path / "freeze.json").write_text(json.dumps({"canon_sha256": sha256(raw).hexdigest()}))
+        return sha256(raw).hexdigest()
+
+    digest = freeze({"rei": [entry, {**entry, "line": "m"}], "asuka": [entry]})
+    got = frozen.load_canon(spark, str(tmp_path), STYLE_RULES).collect()
+    assert {(r.character, r.position, r.line) for r in got} == {("rei", 0, "l"), ("rei", 1, "m"), ("asuka", 0, "l")}
+    assert frozen.canon_identity(spark, str(tmp_path / "canon.json")) == digest and frozen.canon_identity(spark, None) is None
+    for bad, why in (({"rei": [entry]}, "characters"), ({"rei": [{**entry, "line": " "}], "asuka": [entry]}, "empty field")):
+        freeze(bad)
+        with pytest.raises(ValueError, match=why):
+            frozen.load_canon(spark, str(tmp_path), STYLE_RULES)
+
+
+def test_documents_and_freezes_are_written_once_and_read_back(spark, tmp_path):
+    frozen.write_document(spark, {"b": [1, "é"], "a": None}, str(tmp_path / "doc"))
+    assert frozen.read_document(spark, str(tmp_path / "doc")) == {"a": None, "b": [1, "é"]}
+    with pytest.raises(Exception, match="already exists"):
+        frozen.write_document(spark, {}, str(tmp_path / "doc"))
+    (tmp_path / "x.json").write_text("[1]")
+    made = frozen.write_freeze(spark, str(tmp_path / "x.json"), str(tmp_path / "freeze"), seed=3)
+    assert made == {"files": {"x.json": sha256(b"[1]").hexdigest()}, "seed": 3} == frozen.read_document(spark, str(tmp_path / "freeze"))
+
+
+def test_answer_key_and_run_records(spark, tmp_path):
+    key = [("q001", "test", "r1", "base", "policy", 1.0, 2.5), ("q002", "opener", "r2", "opener", "no_opener", None, None)]
+    rows = spark.createDataFrame(key, "id string, kind string, row_id string, left string, right string, v3_pairwise double, v3_margin double")
+    runs.write_answer_key(rows, "set", str(tmp_path / "key"))
+    assert sorted(tuple(r) for r in runs.answer_key(spark, str(tmp_path / "key")).collect()) == key
+    runs.append_record(spark, "r1", "manifest", {"lr": "1", "world_size": "2"}, str(tmp_path / "log"))
+    runs.append_record(spark, "r1", "resume", {"step": 3}, str(tmp_path / "log"))
+    assert runs.records(spark, str(tmp_path / "log")).count() == 2
+    found = runs.manifest_rows(runs.records(spark, str(tmp_path / "log"), "manifest"))
+    assert {(r.key, r.value) for r in found.collect()} == {("lr", "1"), ("world_size", "2")}
+
+
+def test_checkpoints_may_not_hold_unrecorded_pickles(spark):
+    found = spark.createDataFrame([("a.json", "1"), ("new.txt", "2"), ("new.pt", "3"), ("b.bin", "9")], "file string, sha256 string")
+    recorded = spark.createDataFrame([("a.json", "1"), ("b.bin", "4"), ("gone.bin", "5")], "file string, sha256 string")
+    got = {(r.file, r.problem) for r in integrity.checkpoint_drift(found, recorded).collect()}
+    assert got == {("new.pt", "unrecorded"), ("b.bin", "changed"), ("gone.bin", "missing")}
+
+
+def test_retries_record_attempts_and_keep_to_their_budget(spark):
+    asked = pairs.requests(pairs.score_samples(samples(spark, ["走。", "坏。", "好。"]), STYLE_RULES))
+    pending = pairs.pending(asked)
+    text = F.concat("shown_a", "shown_b")
+
+    def judge(rows, attempt):
+        calls = pairs.stub_judge(rows)
+        bad = rows.select("key", (F.contains(text, F.lit("坏")) if attempt > 1 else F.contains(text, F.lit("坏")) | F.contains(text, F.lit("好"))).alias("bad"))
+        return calls.join(bad, "key").withColumn("status", F.when(F.col("bad"), "parse_error").otherwise(F.col("status"))).select(*calls.columns)
+
+    got = pairs.retried(judge)(pending).join(pending.select("key", text.alias("text")), "key").collect()
+    want = {"走": ["ok"], "坏": ["parse_error", "parse_error"], "好": ["parse_error", "ok"]}
+    assert len(got) == 6
+    for r in got:
+        tries = want[next(w for w in want if w in r.text)]
+        assert [a.status for a in r.attempts] == tries and r.status == tries[-1]
+    for budget in (0, 4, 6, 8):
+        rows = pairs.retried(judge, 1, budget)(pending).collect()
+        spent = sum(len(r.attempts or []) for r in rows)
+        assert len(rows) == 6 and spent == min(budget, 10)
+        assert sum(r.status == "inference_error" for r in rows) == max(0, 6 - budget)
+    assert all(len(r.attempts) == 1 for r in pairs.retried(judge, 0)(pending).collect())
+    with pytest.raises(ValueError):
+        pairs.retried(judge, 2)
+
+
+def test_label_sets_of_several_kinds_repeat_no_pair(spark):
+    rows = spark.createDataFrame([(i, f"r{i}", i % 3) for i in range(30)] + [(0, "r0", 0)], "row_id long, reply string, more int")
+    got = labels.label_set([("test", rows, 10), ("train", rows.drop("more"), 15), ("opener", rows, 15)], "s")
+    assert {r.kind: r.n for r in labels.kind_counts(got).collect()} == {"test": 10, "train": 15, "opener": 5}
+    assert got.select("row_id", "reply").distinct().count() == 30
+
+
+def test_probe_reasons_and_base_violations(spark):
+    cases = [("ok", None, False), ("ok", None, True), ("unusable", "AB parse_error", None), ("identical", None, None), ("empty", None, None)]
+    judged = spark.createDataFrame(cases, "status string, unusable string, order_inconsistent boolean")
+    got = {r.reason: r.n for r in evaluation.order_probe_reasons(judged).collect()}
+    assert got == {"order_inconsistent": 1, "AB parse_error": 1, "skipped identical": 1, "skipped empty": 1}
+    rows = spark.createDataFrame([("rei", "好。"), ("rei", "a\nb"), ("asuka", "x" * 90)], "character string, reply string")
+    assert {r.reason: r.n for r in evaluation.base_violations(rows, STYLE_RULES).collect()} == {"multi_line": 1, "length": 1}
+    with pytest.raises(Exception, match="empty base reply"):
+        evaluation.base_violations(rows.union(spark.createDataFrame([("rei", " ")], rows.schema)), STYLE_RULES).collect()
+
+
 def test_manifest_drift(spark):
     old = spark.createDataFrame([("lr", "1"), ("endpoint", "x")], "key string, value string")
     new = spark.createDataFrame([("lr", "2"), ("endpoint", "y"), ("world_size", "1")], "key string, value string")

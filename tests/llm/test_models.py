@@ -288,6 +288,59 @@ def test_pipeline_stages_take_odd_rows(spark):
             stage(spark, spark.createDataFrame(rows, schema), sf).collect()
 
 
+CLASH = ["keep", "kept", "y", "_n", "_lines", "k1", "K2", "n_words", "removed", "n_lines", "c0", "comp", "p_text", "block_id", "pos", "h1"]
+
+
+def test_pipeline_stages_carry_columns_of_any_name(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    plain = {name: sorted(map(str, stage(spark, docs, sf).collect())) for name, stage in corpus_pipeline.STAGES}
+    wide = docs.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASH))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, wide, sf)
+        rows = out.collect()
+        assert sorted(map(str, out.select(*(f"`{c}`" for c in (docs.columns if k < 4 else out.columns))).collect())) == plain[name], name
+        if k < 4:
+            assert out.columns == wide.columns
+            assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASH)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (None, b), (None, c), (None, c), (3, ""), (3, ""), (None, None), (9, "a b"), (9, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (5, b), (None, c), (3, ""), (3, ""), (None, None), (9, "a b")], key=str)
+
+
+def test_pipeline_stages_take_a_very_long_text(spark):
+    sf = "/root/testdata/sf0.001"
+    rng = np.random.default_rng(3)
+    long = "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) for _ in range(25_000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 20").union(spark.createDataFrame([(10**6, long, "en", "s", len(long)), (10**6 + 1, long + " x", "en", "s", len(long) + 2)], "doc_id long, text string, lang string, source string, n_chars long"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, sf).filter("doc_id >= 1000000")
+        if name == "line_dedup":
+            assert {r.doc_id: r.text for r in out.collect()} == {10**6: long, 10**6 + 1: long + " x"}
+        elif name == "ngram_jaccard":
+            assert [r.doc_id for r in out.collect()] == [10**6]
+        elif name == "substring_dedup":
+            assert {r.doc_id: r.text for r in out.collect()} == {10**6: "", 10**6 + 1: "x"}
+        else:
+            n = out.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+            assert len(n) == 2 and all(r.n > 300_000 for r in n)
+
+
+def test_a_piece_coder_takes_a_part_longer_than_its_index(monkeypatch):
+    monkeypatch.setattr(pieces, "INDEX", 500)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefgh"), 4000)), "x" * 2000, "é" * 700 + "漢字😀" * 300]
+    own, library = pieces.PieceCoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for t, x in zip(texts, own.encode(texts)):
+        assert np.frombuffer(x, "<u4").tolist() == library.encode(t)
+
+
 def test_digest_of_decoded_texts(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.doc_id: r for r in queries_models.op7_sentencepiece(spark, sf).collect()}

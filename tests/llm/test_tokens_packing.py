@@ -105,12 +105,12 @@ def test_line_dedup_cases(spark):
     texts = [f"own {i}\n{shared}\n{shared if i % 2 else ''}" for i in range(10)] + [None, "", "rare\nrare\nrare", "\n\n"]
     rows = spark.createDataFrame([(i, t, "k1", 1) for i, t in enumerate(texts)], "doc_id long, text string, k1 string, gone int")
     out = line_runs.dedup(rows.select("doc_id", "text"), batches=3, fanout=2)
-    got = {r.doc_id: r.t for r in out.select("doc_id", line_runs.kept_text().alias("t")).collect()}
+    got = {r.doc_id: r.kept for r in out.collect()}
     for i in range(10):
         assert got[i] == (f"own {i}" if i % 2 else f"own {i}\n")
     assert [got[i] for i in range(10, 14)] == ["", "", "rare\nrare\nrare", "\n\n"]
     assert line_runs.dedup(rows.limit(0).select("doc_id", "text")).count() == 0
-    assert len(line_runs.dedup(rows).columns) == 6
+    assert line_runs.dedup(rows.withColumnRenamed("gone", "Kept")).columns == ["doc_id", "text", "k1", "Kept", "n_lines", "n_dropped", "kept_"]
     twice = rows.union(rows).select("doc_id", "text")
     assert line_runs.dedup(twice).count() == 2 * len(texts)
 
@@ -122,3 +122,33 @@ def test_a_small_word_cache_gives_the_same_ids():
     for k in range(4):
         texts = [f"w{k}a common words, here x{i} y{i % 3}" for i in range(6)]
         assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_lines_of_one_very_long_document(spark):
+    """A hundred thousand lines, every other one dropped: linear work."""
+    lines = [f"own {i}" if i % 2 else f"common {i % 500}" for i in range(100_000)]
+    rows = [(0, "\n".join(lines))] + [(k, "\n".join(f"common {i}" for i in range(0, 500, 2))) for k in range(1, 11)]
+    got = {r.doc_id: r for r in line_runs.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[0].n_lines, got[0].n_dropped) == (100_000, 50_000)
+    assert got[0].kept == "\n".join(lines[1::2]) and got[3].kept == ""
+
+
+def test_token_files_of_one_repeated_id(spark, tmp_path):
+    """Rows of one id, or of none, are dealt over several parts."""
+    rows = [(7, f"word{i} " * 30) for i in range(150)] + [(None, f"none{i}") for i in range(50)] + [(9, "same")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = token_files.write(docs, str(tmp_path / "ids"), PATH, end_id=2, part_bytes=1 << 17)
+    assert len(index["parts"]) > 4 and sum(p["docs"] for p in index["parts"]) == 220
+    got = token_files.read(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 50 + [7] * 150 + [9] * 20
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_another_tokenizer_is_not_split_into_words():
+    from quillmark.llm.wordcoder import WordCoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, whole = WordCoder(path), Tokenizer.from_file(path)
+    assert not own.splits
+    texts = ["two  spaces, don't", "", "é\n\nx"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]

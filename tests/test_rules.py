@@ -2,13 +2,15 @@
 
 import json
 import math
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import protocol, rules, strict_json
 from quillmark.functions.lexicon import STYLE_RULES
-from quillmark.operators import stats
+from quillmark.operators import integrity, stats
+from quillmark.sources import runs
 
 
 def one(spark, *columns):
@@ -164,3 +166,76 @@ def test_provider_text(spark):
     body = json.dumps({"output": [{"type": "reasoning"}, {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": "a"}, {"type": "output_text", "text": "b"}]}]})
     chat = json.dumps({"choices": [{"message": {"content": "c"}}]})
     assert column(spark, [body, chat, "{}"], strict_json.provider_text) == ["ab", "c", None]
+
+
+def test_status_envelope(spark):
+    lit = lambda *v: [F.lit(x) for x in v]
+    none = F.lit(None).cast("string")
+    got = one(spark, *(strict_json.envelope(F.lit("x"), *lit(a, b), e) for a, b, e in ((False, False, none), (False, False, F.lit("bad")), (False, True, F.lit("bad")), (True, True, F.lit("bad")))))
+    assert got == ["ok", "parse_error", "incomplete_response", "inference_error"]
+
+
+def test_judge_identity_redaction_and_file_names(spark):
+    meta = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    ident = lambda d, kind: integrity.judge_identity(meta(d), F.lit(kind), ("model", "seed"))
+    a, b, c, d = one(spark, ident({"model": "m", "seed": "1", "host": "x"}, "local"), ident({"host": "y", "seed": "1", "model": "m"}, "local"), ident({"model": "m", "seed": "1", "host": "x"}, "api_judge"), ident({"seed": "1", "host": "y", "model": "m"}, "api_judge"))
+    assert a == b and len({a, c, d}) == 3
+    with pytest.raises(Exception, match="incomplete"):
+        one(spark, ident({"model": "m"}, "local"))
+    assert one(spark, protocol.redact(F.lit("key=abc, abc"), "abc"), protocol.redact(F.lit("x"), "")) == ["key=[redacted], [redacted]", "x"]
+    assert one(spark, runs.batch_name(F.lit(7)), runs.batch_name(F.lit(123456))) == ["rewards_00007", "rewards_123456"]
+
+
+def test_evidence_persona_keys_and_display(spark):
+    names = [p.name for p in STYLE_RULES.personas]
+    assert one(spark, *(protocol.persona_key(STYLE_RULES, F.lit(n)) for n in names)) == ["rei", "asuka"]
+    with pytest.raises(Exception, match="unknown persona"):
+        one(spark, protocol.persona_key(STYLE_RULES, F.lit("who")))
+    canon = F.array(*(F.struct(F.lit(e).alias("episode"), F.lit("c").alias("context"), F.lit(t).alias("line")) for e, t in (("e1", "l1"), ("e2", "l2"))))
+    assert one(spark, protocol.render_canon(canon)) == ["e1 c: l1\ne2 c: l2"]
+    args = [F.lit(x) for x in ("rei", "s", "x", "y")]
+    items = one(spark, protocol.evidence(STYLE_RULES, *args), protocol.evidence(STYLE_RULES, *args, canon))
+    assert [[i.id for i in e] for e in items] == [["E1", "E2", "E3"], ["E1", "E2", "E3", "E4"]] and items[1][2].text == "x：y"
+    shown = [x for r in (False, True) for x in protocol.displayed(F.lit("p"), F.lit("b"), F.lit(r))]
+    assert one(spark, *shown) == ["p", "b", "b", "p"]
+    assert one(spark, *(protocol.mapping(F.lit(r)) for r in (False, True))) == [{"A": "A", "B": "B"}, {"A": "B", "B": "A"}]
+    assert one(spark, protocol.counterpart_id(F.lit("T-1-L2-rei"), F.lit("asuka")), protocol.character_of(F.lit("T-1-L2-rei"))) == ["T-1-L2-asuka", "rei"]
+
+
+def test_similarity_is_the_edit_distance_ratio(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [("", ""), ("abc", ""), ("知道了。", "知道。"), ("kitten", "sitting"), ("é😀x", "e😀")]
+    rows = spark.createDataFrame(list(enumerate(pairs)), "i int, p struct<a:string,b:string>")
+    got = [r[0] for r in rows.orderBy("i").select(stats.similarity(F.col("p.a"), F.col("p.b"))).collect()]
+    assert got == pytest.approx([1 - distance(a, b) / max(len(a), len(b), 1) for a, b in pairs])
+
+
+def test_bootstrap_interval_equals_brute_force(spark):
+    data = [(i, i % 3 - 1, ((i * 7) % 11) / 10 - 0.4 + 0.3 * (i % 3)) for i in range(60)]
+    cdf, term = [math.exp(-1)], math.exp(-1)
+    for k in range(1, 11):
+        term /= k
+        cdf.append(cdf[-1] + term)
+    found = []
+    for draw in range(1, 41):
+        w = []
+        for key, *_ in data:
+            u = (int(md5(f"s|{draw}|{key}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+            w.append(sum(u > c for c in cdf))
+        n = sum(w)
+        mean = [sum(a * r[k] for a, r in zip(w, data)) / n for k in (1, 2)]
+        cov = sum(a * (r[1] - mean[0]) * (r[2] - mean[1]) for a, r in zip(w, data))
+        var = [sum(a * (r[k] - mean[k - 1]) ** 2 for a, r in zip(w, data)) for k in (1, 2)]
+        found.append(cov / math.sqrt(var[0] * var[1]))
+    found.sort()
+    at = lambda q: found[int(q * 39)] + (q * 39 - int(q * 39)) * (found[min(39, int(q * 39) + 1)] - found[int(q * 39)])
+    rows = spark.createDataFrame(data, "key int, human int, judge double")
+    r = stats.bootstrap_pearson(rows, 40, "s").first()
+    assert (r.low, r.high) == pytest.approx((at(0.025), at(0.975)), abs=2e-6)

@@ -92,7 +92,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, task, ranks, wide = coder(tokenizer), TaskContext.get().partitionId(), {}, 4 * capacity
-        for b in common.slices(batches, 1):
+        for b in common.slices(batches, 1, 2 << 20):
             rows, (ids, ends) = [], words.encode_column(b.column(1))
             for doc, since, to in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 x = ids[since:to].tobytes() + tail

@@ -69,7 +69,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, bits: int = 16
         name, own = f"{root}/part-{part:05d}", uuid.uuid4().hex
         lengths, ids = [], []
         stream = None
-        for b in common.slices(batches, 1):
+        for b in common.slices(batches, 1, 2 << 20):
             if stream is None:
                 stream = store.open_output_stream(f"{name}.ids.{own}")
             a, at = words.encode_column(b.column(1))

@@ -63,8 +63,11 @@ class WordCoder:
         if "" in pieces:  # a chunk without marks
             at = pieces.index("")
             return [*self._pieces(pieces[:at]), b"", *self._pieces(pieces[at + 1 :])]
-        texts = [" ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)]
-        ids = np.array([x for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) for x in e.ids], dtype="<u4")
+        each = [np.empty(0, "<u4")]
+        for i in range(0, len(pieces), 4096):  # the library's results are large for a while
+            texts = [" ".join(pieces[j : min(j + 256, i + 4096)]) for j in range(i, min(i + 4096, len(pieces)), 256)]
+            each += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        ids = np.concatenate(each)
         ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(pieces) or len(ids) and ends[-1] != len(ids):
             return self._direct(pieces)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that define QUERIES and ORACLES.
-MODULES = ("queries_text", "queries_vectors", "queries_models")
+MODULES = ("queries_text", "queries_vectors", "queries_models", "queries_corpus")
 
 
 def _all(name: str) -> dict:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, secret_scan
+from . import filter_audit, prefix_trie, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,14 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
-QUERIES = {"op11_filter_audit": op11_filter_audit, "op12_secret_scan": op12_secret_scan}
+QUERIES = {"op11_filter_audit": op11_filter_audit, "op12_secret_scan": op12_secret_scan, "op13_conversation_trie": op13_conversation_trie}
 ORACLES = {
     "op11_filter_audit": rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
@@ -57,4 +62,27 @@ per AS (
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
   CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
   CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM per""",
+    "op13_conversation_trie": """
+WITH labelled AS (
+  SELECT conv_id AS c, turn, length(coalesce(text, '')) AS chars, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, chars, l, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, l) AS pos FROM labelled),
+ids AS (SELECT DISTINCT c FROM t),
+heads AS (
+  SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS UBIGINT))),
+    lambda r, x: list_reduce([xor(r, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, CAST(3988292384 AS UBIGINT) * (y & 1)))), CAST(4294967295 AS UBIGINT)) % 6 AS h FROM ids),
+given AS (
+  SELECT heads.c, pos, l, chars FROM heads JOIN t ON t.c = heads.b AND pos <= h UNION ALL SELECT t.c, pos, l, chars FROM t JOIN heads USING (c) WHERE pos > h),
+path AS (
+  SELECT c, depth, chars, string_agg(l, '') OVER (PARTITION BY c ORDER BY depth) AS k FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY pos) AS depth FROM given)
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+ending AS (SELECT *, max(depth) OVER (PARTITION BY c) AS whole FROM path),
+node AS (
+  SELECT depth, k, substr(k, 1, greatest(0, 32 * (depth - 1))) AS up, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE depth = whole), '')) AS ends_sha256 FROM ending GROUP BY depth, k),
+family AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN (SELECT depth - 1 AS depth, up AS k, count(*) AS kids FROM node WHERE depth > 0 GROUP BY ALL) USING (depth, k)),
+below AS (
+  SELECT path.k, path.depth, count(*) FILTER (WHERE kids = 0) AS leaves, sum((n - 1) * f.chars) AS saved
+  FROM family f JOIN path ON path.c = f.conv_id AND path.depth <= f.depth GROUP BY ALL)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n AS n_convs, f.kids AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM family f JOIN below b USING (k, depth) LEFT JOIN node p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.k = f.up""",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,25 +16,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Regular expression of a word and of the blanks around it (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
-_made: list[str] = []
+#: A folder of our own, where the session names none.
+_own: str | None = None
+#: Lists that gather the scratch paths made while their with-block runs, innermost last.
+_owners: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one
     of our own on a local master only."""
+    global _own
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="quillmark-shared-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if _own is None:
+        _own = "file://" + tempfile.mkdtemp(prefix="quillmark-shared-")
+    return _own
 
 
 def fresh() -> str:
@@ -40,24 +47,39 @@ def fresh() -> str:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder. It lives until release() or the end of the application's folder."""
+    """A new path below the shared folder."""
     path = f"{shared_root(spark)}/quillmark/{tag}-{fresh()}"
-    _made.append(path)
+    for owner in _owners:
+        owner.append(path)
     return path
 
 
+@contextlib.contextmanager
+def owned() -> Iterator[list[str]]:
+    """The scratch paths that are made inside, for whoever knows when their readers are done."""
+    paths: list[str] = []
+    _owners.append(paths)
+    try:
+        yield paths
+    finally:
+        _owners.remove(paths)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path in whatever store it lies."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _made:
-        _made.remove(path)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch of this driver. Call it only when every result built on it has been written."""
-    for path in list(_made):
-        remove(spark, path)
+def expire(spark: SparkSession, path: str) -> None:
+    """Have a written scratch path deleted when the driver ends, if nobody does so before."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -71,6 +93,7 @@ def materialise(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     The shuffle files behind it are deleted, unless the caller says that they are ``small``."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    expire(df.sparkSession, path)
     if not small:
         free_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -209,8 +232,20 @@ def free(new: tuple[str, ...], taken: list[str]) -> list[str]:
     return out
 
 
-def row_key(*cols: Column) -> list[Column]:
-    """Two 64-bit keys of a row's content. Rows of equal content share a key, and so a result."""
+def _hashed_type(kind: T.DataType) -> bool:
+    """Whether Spark hashes values of this type; it does not hash maps and variants, wherever they are nested."""
+    if isinstance(kind, T.ArrayType):
+        return _hashed_type(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashed_type(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Two 64-bit keys, k1 and k2, of a row's content, whatever its columns' names and types. Rows of equal content share a
+    key, and so a result; values that Spark does not hash count by their JSON."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    cols = [c if _hashed_type(f.dataType) else F.to_json(F.struct(c.alias("v"))) for c, f in zip(cols, df.schema.fields)]
     return [F.xxhash64(F.lit("quill"), *cols).alias("k1"), F.xxhash64(*cols, F.lit("mark")).alias("k2")]
 
 

@@ -6,6 +6,10 @@ transform); the signed axis nearest to the result is a hash. Two rotations make
 codes whose two axes lie nearest to it in sum, and every row found there is ranked by its exact cosine on
 the original vectors.
 
+How many codes are probed follows from the table: of ``SAMPLE`` vectors the true neighbours are found by one pass over
+all rows, and ``probes_for()`` takes the least number that would find the share ``TARGET`` of them. Only the sample
+and its neighbours come to the driver, whatever the table's size, and a given ``probes`` skips the measurement.
+
 Codes in order are packed into units of at most ``UNIT`` rows; a bucket of more is a unit of its own, dealt by
 id into parts that a query visits all. So tasks stay bounded, a query goes once to each unit that it probes,
 and nothing is dropped. Of equal vectors only the k + 1 smallest ids are indexed, since ties go to the smaller
@@ -18,19 +22,23 @@ one fixed order of summation, so equal vectors have equal scores.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from . import vectors as V
 
-TABLES, PROBES, SEED = 8, 240, 7
+TABLES, SEED = 8, 7
+#: Vectors whose neighbours are measured, and the share of these that the probes must find.
+SAMPLE, TARGET = 512, 0.95
 #: Rows of a unit.
 UNIT = 4096
+LOG = logging.getLogger(__name__)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -68,10 +76,9 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Codes:
     """The codes of vectors in every table, and the units that hold them."""
 
-    def __init__(self, dims: int, tables: int, probes: int):
+    def __init__(self, dims: int, tables: int):
         self.wide = 1 << max(1, (dims - 1).bit_length())
         self.tables, self.axes = tables, 2 * self.wide
-        self.probes = min(probes, self.axes**2)
         self.signs = np.random.default_rng(SEED).choice([-1.0, 1.0], (tables, 2, 3, self.wide))
 
     def _axes(self, x: np.ndarray, t: int) -> list[np.ndarray]:
@@ -81,15 +88,23 @@ class Codes:
         a, b = (y.argmax(1) for y in self._axes(x, t))
         return a * self.axes + b
 
-    def probed(self, x: np.ndarray, t: int) -> np.ndarray:
+    def place(self, x: np.ndarray, t: int, codes: np.ndarray) -> np.ndarray:
+        """For each row and its own code, how many codes are nearer to the row."""
+        out = np.empty(len(x), np.int64)
+        for r, (a, b, c) in enumerate(zip(*self._axes(x, t), codes.tolist())):
+            b_sorted = np.sort(b)
+            out[r] = (self.axes - np.searchsorted(b_sorted, a[c // self.axes] + b[c % self.axes] - a, side="right")).sum()
+        return out
+
+    def probed(self, x: np.ndarray, t: int, probes: int) -> np.ndarray:
         """The ``probes`` nearest codes of each row."""
         a, b = self._axes(x, t)
         # Pairs of the nearest axes hold the nearest codes: the m-th of either is in no code before the m-th.
-        m = min(self.probes, self.axes)
+        m = min(probes, self.axes)
         i, j = (np.argsort(-y, 1)[:, :m] for y in (a, b))
         rows = np.arange(len(x))[:, None]
         score = (a[rows, i][:, :, None] + b[rows, j][:, None]).reshape(len(x), -1)
-        best = np.argpartition(-score, self.probes - 1, 1)[:, : self.probes] if self.probes < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(x), 1))
+        best = np.argpartition(-score, probes - 1, 1)[:, :probes] if probes < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(x), 1))
         return i[rows, best // m] * self.axes + j[rows, best % m]
 
     def units(self, counts: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -110,10 +125,45 @@ class Codes:
         return unit, parts
 
 
-def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def neighbours(data: DataFrame, sample: list, dims: int, k: int) -> list:
+    """(query: place in the sample, codes) of the k true neighbours of each sampled row (id, v), by one pass over ``data``
+    (id, v, codes); every task sends on its best k of each."""
+    own_ids, q = np.array([r.id for r in sample]), unit(np.array([r.v for r in sample], np.float64).reshape(-1, dims))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in sample]
+        for b in batches:
+            ids, codes = b.column(0).to_numpy(), b.column(2)
+            scores = q @ unit(V.matrix(b.column(1), dims)).T
+            for j, s in enumerate(scores):
+                near = np.argpartition(-s, min(k, len(s) - 1))[: k + 1]
+                more = [(-float(s[i]), int(ids[i]), codes[int(i)].as_py()) for i in near if ids[i] != own_ids[j]] if not len(held[j]) == k or s[near].max() >= -held[j][-1][0] else []
+                if more:
+                    held[j] = sorted(held[j] + more)[:k]
+        out = [(j, -x[0], x[1], x[2]) for j, own in enumerate(held) for x in own]
+        cols = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int32()))], names=["q", "score", "id", "codes"])
+
+    found = data.mapInArrow(work, "q int, score double, id long, codes array<int>")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).select("q", "codes").collect()
+
+
+def probes_for(codes: Codes, sample: list, true: list, dims: int, target: float) -> int:
+    """The least number of probes with which the tables together find the share ``target`` of the sample's neighbours."""
+    if not true:
+        return 1
+    x = unit(np.array([sample[r.q].v for r in true], np.float64).reshape(-1, dims))
+    own = np.array([r.codes for r in true])
+    need = np.min([codes.place(x, t, own[:, t]) for t in range(codes.tables)], 0)
+    return int(np.sort(need)[max(0, int(np.ceil(target * len(need))) - 1)]) + 1
+
+
+def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, probes: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine; ``query`` is a condition on ``id``.
 
-    Every query has k rows, or all others where the table has fewer.
+    Every query has k rows, or all others where the table has fewer. ``probes``: codes that a query visits in each
+    table; by default as many as a sample of the table needs for a recall of ``target``.
     """
     spark = table.sparkSession
     common.arrow_rows(spark, 4096)
@@ -124,7 +174,7 @@ def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, pr
     rows = common.materialise(rows.withColumn("is_query", query), "vectors")
     kind = dict(rows.dtypes)["v"]
     n = rows.count()
-    codes = Codes(dims, tables, probes)
+    codes = Codes(dims, tables)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,6 +183,10 @@ def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, pr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(each.ravel()), tables).cast(pa.list_(pa.int32()))], names=["id", "v", "codes"])
 
     data = common.materialise(V.reachable(rows.select("id", "v"), k).mapInArrow(hashed, f"id long, v {kind}, codes array<int>"), "hashed")
+    if probes is None:
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "v").collect()
+        probes = probes_for(codes, sample, neighbours(data, sample, dims, k), dims, target)
+        LOG.info("%d probes of %d codes a table for a recall of %s", probes, codes.axes**2, target)
     # At most tables * (2 * width) ** 2 counts come to the driver, whatever the table's size.
     counts = data.select(F.posexplode("codes").alias("tab", "code")).groupBy("tab", "code").agg(F.count(F.lit(1)).alias("n")).collect()
     held = spark.sparkContext.broadcast(codes.units(counts))
@@ -173,7 +227,7 @@ def search(table: DataFrame, query: Column, k: int = 5, tables: int = TABLES, pr
                             at, units = np.repeat(np.arange(len(x)), len(parts[t])).tolist(), list(range(len(parts[t]))) * len(x)
                             sent = [b""] * len(at)
                         else:
-                            for i, own in enumerate(codes.probed(x, t)):
+                            for i, own in enumerate(codes.probed(x, t, probes)):
                                 own = np.sort(own)  # units ascend with codes
                                 u = unit_of[t][own]
                                 cut = np.flatnonzero(np.diff(u, prepend=-1))

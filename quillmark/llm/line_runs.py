@@ -42,7 +42,7 @@ def hashed_lines(docs: DataFrame, text_col: str, min_chars: int, batches: int) -
     """(k1, k2, batch, hashes): per row of ``docs`` its key, its batch by content, and its lines' hashes in order."""
     text = F.col(f"`{text_col}`")
     hashes = F.transform(split_lines(text), lambda x: _hashes(line_key(x), min_chars))
-    return docs.select(*common.row_key(*(F.col(f"`{c}`") for c in docs.columns)), F.pmod(F.xxhash64(F.lit("batch"), text), F.lit(batches)).cast("int").alias("batch"), hashes.alias("hashes"))
+    return docs.select(*common.row_key(docs), F.pmod(F.xxhash64(F.lit("batch"), text), F.lit(batches)).cast("int").alias("batch"), hashes.alias("hashes"))
 
 
 class LineRuns:
@@ -125,7 +125,7 @@ def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     text = F.col(inner.columns[names.index(text_col)])
     # The key names the row by its own columns' content, in order.
-    rows = inner.select(*inner.columns, *common.row_key(*(F.col(c) for c in inner.columns)))
+    rows = inner.select(*inner.columns, *common.row_key(inner))
     out = rows.join(gone, ["k1", "k2"], "left")
     n_lines = F.length(F.coalesce(text, F.lit(""))) - F.length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(""))) + 1
     out = out.select(*inner.columns, n_lines.cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long"), kept_text(text, F.col("gone")))

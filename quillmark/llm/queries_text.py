@@ -17,6 +17,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's ids written as flat files in ascending doc_id order, and read back."""
     out = common.scratch(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    common.expire(spark, out)
     return token_files.read(spark, out)
 
 

@@ -1,8 +1,11 @@
 """Url templates, SentencePiece coder, quality classifier and pipeline."""
 
 import hashlib
+import os
 import re
 import string
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from quillmark.llm import cotraining, pieces, queries_models, url_templates
+from quillmark.llm import common, cotraining, pieces, queries_models, queries_text, url_templates
 from quillmark.llm.url_templates import Rule
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -305,6 +308,69 @@ def test_pipeline_stages_carry_columns_of_any_name(spark):
             assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASH)
 
 
+def test_pipeline_stages_carry_columns_of_any_type(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    more = {
+        "m": "map('id', doc_id)",
+        "v": "parse_json(concat('{\"id\":', doc_id, '}'))",
+        "a": "array(named_struct('x', map(doc_id, array(lang))))",
+        "s": "array(named_struct('x', doc_id, 'y', array(lang)))",
+        "b": "cast(source as binary)",
+        "n": "null",
+    }
+    wide = docs.selectExpr("*", *(f"{e} AS {c}" for c, e in more.items()))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        plain = stage(spark, docs, sf).collect() if k == 2 else None
+        rows = stage(spark, wide, sf)
+        if k < 4:
+            got = rows.selectExpr("*", "v::string AS said").collect()
+            assert rows.columns == wide.columns and got, name
+            assert all(r.m == {"id": r.doc_id} and r.said == f'{{"id":{r.doc_id}}}' and r.s[0].x == r.doc_id and r.a[0].x == {r.doc_id: [r.lang]} for r in got)
+            assert plain is None or {r.doc_id for r in got} == {r.doc_id for r in plain}
+        else:
+            assert rows.count()
+
+
+def test_other_results_outlive_a_pipeline_run(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lazy = [queries_text.QUERIES[q](spark, sf) for q in ("op4_substring_dedup", "op6_ngram_jaccard", "op9_line_dedup")]
+    out = corpus_pipeline.run(spark, sf)
+    assert [df.count() for df in lazy] == [docs.count()] * 3
+    assert out.count() == out.count() > 0
+    # A stage deletes what the stage before it made, and nothing else.
+    with common.owned() as made:
+        first = corpus_pipeline.lines(spark, docs, sf)
+    rows = first.collect()
+    corpus_pipeline.clear(spark)
+    assert made and rows and [df.count() for df in lazy] == [docs.count()] * 3
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    assert not any(hadoop.Path(p).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop.Path(p)) for p in made)
+
+
+ALONE = """
+import sys
+from quillmark.session import local_session
+import __spark_entry__ as entry
+spark = local_session(2, 2, "2g")
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+for q in ("op9_line_dedup", "op5_best_fit_packing", "op11_filter_audit"):
+    assert entry.queries()[q](spark, "/root/testdata/sf0.001").count(), q
+from quillmark.llm import common
+print("ROOT", common.shared_root(spark))
+"""
+
+
+def test_queries_run_where_no_shared_folder_is_named(tmp_path):
+    """A local session without spark.checkpoint.dir; its scratch is gone when the driver ends."""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", ALONE], env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    root = done.stdout.split("ROOT file://")[1].strip()
+    assert not os.path.isdir(f"{root}/quillmark") or not [f for _, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+
+
 def test_near_duplicates_of_repeated_and_null_ids(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")

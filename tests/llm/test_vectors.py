@@ -92,6 +92,36 @@ def test_cross_polytope_recall_ties_and_scores(spark):
     assert [i for _, _, i in sorted(got[5000])] == [0, 4000, 4001, 4002, 4003]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_cross_polytope_recall_on_given_tables(spark, sf, caplog):
+    """Every row as a query, with the parameters of the query."""
+    caplog.set_level("INFO", "quillmark.llm.crosspoly")
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in crosspoly.search(table, F.lit(True)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for i, s in enumerate(x @ x.T):
+        s[i] = -2
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    print(sf, "recall", hits / (5 * len(ids)), caplog.messages)
+    assert hits >= 0.9 * 5 * len(ids)
+
+
+def test_measured_probes_are_the_places_of_true_codes():
+    """The place of a code is how many codes are probed before it."""
+    rng = np.random.default_rng(0)
+    codes = crosspoly.Codes(8, 2)
+    x = crosspoly.unit(rng.normal(size=(20, 8)))
+    for t in (0, 1):
+        for place in (0, 3, 40):
+            last = [next(iter(set(a) - set(b))) for a, b in zip(codes.probed(x, t, place + 1).tolist(), codes.probed(x, t, place).tolist() if place else [[]] * 20)]
+            assert codes.place(x, t, np.array(last)).tolist() == [place] * 20
+
+
 def test_cross_polytope_small_and_odd_tables(spark):
     x = vectors(30, 5, 2)
     odd = [(40, [0.0] * 5, 0, ""), (50, None, 0, ""), (60, [None] * 5, 0, ""), (70, [float("nan")] * 5, 0, "")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A folder of our own, where the session names none.
+_own: str | None = None
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; where that is unset, one of our own
     on a local master only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    global _own
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if _own is None:
+            _own = "file://" + tempfile.mkdtemp(prefix="quillmark-")
+        root = _own
     return f"{root.rstrip('/')}/{name}-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """Have a written folder deleted when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder once and read from there: every later branch starts from the files."""
+    """The same rows, written to the shared folder once and read from there: every later branch starts from the files,
+    which are deleted when the driver ends."""
     path = shared_folder(df.sparkSession, "written")
     df.write.parquet(path)
+    expire(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans.queries import ORACLES, QUERIES
-from .streaming.queries import STREAM_QUERIES
+from .streaming.queries import STREAM_ORACLES, STREAM_QUERIES
 
 
 def queries() -> dict:
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return {**ORACLES, **STREAM_ORACLES}

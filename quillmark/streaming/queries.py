@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import pairs as P
 from ..plans import demo
-from ..session import shared_folder
+from ..plans.sql import over
+from ..session import expire, shared_folder
 from . import rewards
 
 
 def reward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch metrics of all samples, fed through Structured Streaming from files."""
+    """Batch metrics of all samples, fed through Structured Streaming from files that cut across batches and groups, a
+    quarter of the files at a time."""
     root = shared_folder(spark, "stream")
-    rows = demo.samples(spark, sf_dir)
-    rows.write.parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
-    rewards.score_stream(stream, demo.RULES, P.faulty(P.stub_judge), f"{root}/out", f"{root}/state").awaitTermination()
+    rows = rewards.with_size(demo.samples(spark, sf_dir), "batch")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(files, "pos").write.parquet(f"{root}/in")
+    expire(spark, root)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(f"{root}/in")
+    rewards.score_stream(stream, demo.RULES, P.faulty(P.stub_judge), f"{root}/out", f"{root}/state", limit=1 << 40).awaitTermination()
     return rewards.read_metrics(spark, f"{root}/out").drop("serial")
 
 
 STREAM_QUERIES = {"reward_stream": reward_stream}
+STREAM_ORACLES = {"reward_stream": over("per_batch", "SELECT * FROM per_batch")}

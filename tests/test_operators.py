@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.lexicon import STYLE_RULES, persona_identity
 from quillmark.operators import evaluation, integrity, labels, pairs, prefix, reward, stats
-from quillmark.plans import demo
 from quillmark.sources import config, frozen, runs
-from quillmark.streaming import rewards
 
 SAMPLE = "row_id long, batch long, rank long, pos long, grp long, character string, situation string, speaker string, line string, reply string, base string, prompt_id long"
 
@@ -192,11 +190,6 @@ def test_overflow_steps(spark):
     assert [r.step for r in stats.overflow_steps(log).collect()] == [2, 3]
 
 
-def test_a_stuck_stream_is_told(spark):
-    m = lambda flags: spark.createDataFrame([(i, 2 * f, 2) for i, f in enumerate(flags)], "batch long, rejected_groups long, groups long")
-    assert rewards.stuck(m([0, 1, 1, 1]), 3) and not rewards.stuck(m([1, 1, 0, 1]), 3) and not rewards.stuck(m([1, 1]), 3)
-
-
 def test_settings():
     assert settings_of("# c\nA = 'x y'\nB=2\n") == {"A": "x y", "B": "2"}
     assert config.settings("A=1", ("A",), {"A": "9", "Z": "0"}) == {"A": "9"}
@@ -322,16 +315,3 @@ def test_manifest_drift(spark):
     old = spark.createDataFrame([("lr", "1"), ("endpoint", "x")], "key string, value string")
     new = spark.createDataFrame([("lr", "2"), ("endpoint", "y"), ("world_size", "1")], "key string, value string")
     assert [r.key for r in integrity.manifest_drift(old, new).collect()] == ["lr"]
-
-
-def test_stream_gives_the_batch_result(spark, tmp_path):
-    rows = demo.samples(spark, "/root/testdata/sf0.001")
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    judge = pairs.faulty(pairs.stub_judge)
-    for _ in range(2):  # the second run finds nothing new
-        rewards.score_stream(stream, demo.RULES, judge, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    j, asked = pairs.judged(rows, demo.RULES, judge)
-    want = reward.batch_metrics(j, asked, reward.groups(j), demo.RULES)
-    got = rewards.read_metrics(spark, str(tmp_path / "out")).drop("serial")
-    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))

@@ -2,13 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256) of raw bytes."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+#: Files above this many bytes are hashed in blocks of BLOCK bytes; Spark's own reader holds a file in one row.
+LARGE, BLOCK = 64 << 20, 4 << 20
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, sha256) of files read block by block; a running hash is all that a task holds."""
+    for b in batches:
+        paths, found = b.column(0).to_pylist(), []
+        for path in paths:
+            # Spark writes file:/a b, Arrow wants file:///a%20b.
+            store, at = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", path), safe="/:"))
+            running = hashlib.sha256()
+            with store.open_input_stream(at, buffer_size=0) as f:
+                while block := f.read(BLOCK):
+                    running.update(block)
+            found.append(running.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string())], names=["path", "sha256"])
+
+
+def digests(spark: SparkSession, path: str, large: int = LARGE) -> DataFrame:
+    """(file, sha256) of raw bytes, for files of any size.
+
+    A hash is sequential, so a file is one task's work. Files of at most ``large`` bytes are hashed where Spark reads them; the others
+    are dealt one by one to tasks that stream them in blocks, from any store that Arrow opens by its URI.
+    """
+    every = spark.read.format("binaryFile").load(path)
+    small = every.filter(F.col("length") <= large).select("path", F.sha2("content", 256).alias("sha256"))
+    names = every.select("path", "length").filter(F.col("length") > large).select("path")
+    big = names.repartition("path").mapInArrow(_folded, "path string, sha256 string")
+    # A scan makes no row of an empty file.
+    listed = spark.createDataFrame([(re.sub(r"^file:/+", "file:/", unquote(u)),) for u in every.inputFiles()], "path string")
+    empty = listed.join(every.select("path"), "path", "left_anti").select("path", F.lit(hashlib.sha256().hexdigest()).alias("sha256"))
+    return small.unionByName(big).unionByName(empty).select(F.element_at(F.split("path", "/"), -1).alias("file"), "sha256")
 
 
 def hash_drift(found: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -70,3 +107,24 @@ def transient(status, error):
 def worst_case_calls(steps, prompts, group, world):
     """Judge calls that a run can need at most, per process."""
     return F.floor(steps * prompts * group * 2 / world)
+
+
+def row_words(*cols: Column) -> list[Column]:
+    """Four 32-bit words of an md5 of a row's values, as longs; nulls differ from all values."""
+    body = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("0")) for c in cols))
+    h = F.md5(body.cast("binary"))
+    return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
+
+
+def multiset_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, rows, digest) per key: equal for equal multisets of rows, in whatever order and parts they come. Sums of row
+    hashes add up in the map tasks, so no key is gathered anywhere; good for 2**31 rows a key."""
+    words = row_words(*(F.col(c) for c in columns))
+    sums = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), *(F.sum(w).alias(f"_{i}") for i, w in enumerate(words)))
+    return sums.select(*by, "rows", F.md5(F.concat_ws(",", *(F.col(f"_{i}").cast("string") for i in range(4))).cast("binary")).alias("digest"))
+
+
+def rank_agreement(rows: DataFrame, by: list[str], rank: str, columns: list[str]) -> DataFrame:
+    """(by, ranks, agree): whether all ranks hold the same rows of a key, each as often as the others do."""
+    each = multiset_digest(rows, [*by, rank], columns)
+    return each.groupBy(*by).agg(F.count(F.lit(1)).alias("ranks"), (F.countDistinct("rows", "digest") == 1).alias("agree"))

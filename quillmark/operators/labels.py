@@ -41,7 +41,8 @@ def pick_bands(rows: DataFrame, count: int, seed: str) -> DataFrame:
     """Equal draws per character from five margin bands. ``rows``: row_id, character, reply, margin."""
     one = rows.filter("margin is not null").dropDuplicates(["row_id", "reply"]).withColumn("band", band(F.col("margin"))).filter("band is not null")
     w = Window.partitionBy("character", "band").orderBy(draw(seed, F.col("row_id")), "row_id")
-    return one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= quota(count)).drop("n")
+    # The largest quota first, as a literal: Spark then keeps no more rows of a key in any map task.
+    return one.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= count // 10 + 1).filter(F.col("n") <= quota(count)).drop("n")
 
 
 def opener_pairs(rows: DataFrame, count: int, first: str, seed: str) -> DataFrame:
@@ -53,7 +54,7 @@ def opener_pairs(rows: DataFrame, count: int, first: str, seed: str) -> DataFram
     both = both.filter("with_opener is not null and without_opener is not null")
     w = Window.partitionBy("character").orderBy(draw(seed, F.col("batch"), F.col("grp")), "batch", "grp")
     want = F.lit(count // 2) + ((F.col("character") == first) & F.lit(count % 2 == 1)).cast("int")
-    return both.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= want).drop("n")
+    return both.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= -(-count // 2)).filter(F.col("n") <= want).drop("n")
 
 
 def label_set(kinds: list[tuple[str, DataFrame, int]], seed: str) -> DataFrame:

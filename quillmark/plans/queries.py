@@ -527,3 +527,49 @@ def base_violation_hist(spark: SparkSession, d: str) -> DataFrame:
     """All cleaned replies that hold anything, as base replies."""
     rows = _scored(spark, d).select("character", "reply").filter(F.length(F.trim("reply")) > 0)
     return E.base_violations(rows, demo.RULES)
+
+
+_TRIGRAMS = r"""SELECT character, array_to_string(w[i:i + 2], ' ') AS phrase, count(*) AS n FROM (SELECT character, w, unnest(range(1, len(w) - 1)) AS i FROM (
+ SELECT character, regexp_extract_all(reply, '[^\x20\x09-\x0D]+') AS w FROM cleaned) WHERE len(w) >= 3) GROUP BY ALL"""
+
+
+@query(over("cleaned", f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY character ORDER BY n DESC, phrase) AS INTEGER) AS rank FROM ({_TRIGRAMS})) WHERE rank <= 10"))
+def top_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent phrases of three words of each persona; ten is the feature."""
+    return S.top_phrases(written(_scored(spark, d).select("character", "reply")), "character", 10)
+
+
+@query(over("per_batch", f"SELECT {mean6('win_rate_vs_base')} AS last_mean FROM (SELECT * FROM per_batch ORDER BY batch DESC LIMIT 50)"))
+def curve_last_fifty(spark: SparkSession, d: str) -> DataFrame:
+    """Mean win rate of the last fifty batches; fifty is the feature."""
+    return S.curve_ends(_metrics(spark, d), "batch", "win_rate_vs_base", 50).select("last_mean")
+
+
+@query(
+    over(
+        "scored",
+        """SELECT CAST(a AS BIGINT) AS first, CAST(b AS BIGINT) AS last, count(DISTINCT row_id // 40000000000) AS steps, round(avg(CAST(length(reply) < 40 AS DOUBLE)), 6) AS share
+ FROM scored JOIN (VALUES (0, 4), (5, 9), (0, 1000000)) v(a, b) ON row_id // 40000000000 BETWEEN a AND b GROUP BY a, b""",
+    )
+)
+def short_reply_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Share of short replies by windows of passes over the corpus."""
+    return S.window_shares(_scored(spark, d).withColumn("step", F.floor(F.col("row_id") / demo.SPAN)), "step", F.length("reply") < 40, [(0, 4), (5, 9), (0, 1_000_000)])
+
+
+_HALVES = """SELECT grp, k, md5(concat_ws(chr(31), '=' || CAST(pos AS VARCHAR), '=' || reply, '=' || CAST(round(style, 3) AS DECIMAL(9, 3)))) AS h FROM (
+ SELECT *, unnest([0, 1]) AS k FROM (SELECT doc_id, pos, reply, style, doc_id AS grp FROM (SELECT row_id % 40000000000 AS doc_id, row_id // 40000000000 AS pos, reply, style FROM scored))) WHERE k = 0 OR grp % 7 <> 3 OR pos <> 0"""
+
+
+@query(
+    over(
+        "scored",
+        f"""SELECT grp, count(*) AS ranks, count(DISTINCT (n, a, b, c, d)) = 1 AS agree FROM (
+ SELECT grp, k, count(*) AS n, {", ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS {c}" for i, c in enumerate("abcd"))} FROM ({_HALVES}) GROUP BY ALL) GROUP BY grp""",
+    )
+)
+def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Two ranks score every document's lines; the second loses the first line of one document in seven."""
+    s = _scored(spark, d).select((F.col("row_id") % demo.SPAN).alias("grp"), F.floor(F.col("row_id") / demo.SPAN).alias("pos"), "reply", F.col("style").cast("decimal(9,3)").alias("style"))
+    both = s.withColumn("rank", F.explode(F.array(F.lit(0), F.lit(1)))).filter("rank = 0 or grp % 7 <> 3 or pos <> 0")
+    return I.rank_agreement(both, ["grp"], "rank", ["pos", "reply", "style"])

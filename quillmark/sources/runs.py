@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import integrity as I
+
 REWARDS = """metrics map<string,string>, rejected_groups array<int>, rank int, row_offset int, values array<double>, samples array<struct<row_id:string,reply:string,
 hard:string,style:double,keys:struct<AB:string,BA:string>,margin:double,verdict:double,pairwise:double,unusable:string,value:double,off_topic:boolean,order_inconsistent:boolean>>"""
 DIM = "struct<status:string,score:bigint,reason:string,evidence_ids:array<string>>"
@@ -116,13 +118,38 @@ def batch_name(serial):
     return F.format_string("rewards_%05d", serial)
 
 
-def append_calls(calls: DataFrame, path: str) -> None:
-    """Judge calls with all attempts, appended to one table by run and batch."""
-    calls.write.mode("append").partitionBy("run", "batch").parquet(path)
+def write_parts(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Replaces the parts (values of ``by``) that ``rows`` holds and leaves all others: writing a part twice leaves one copy."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def write_calls(calls: DataFrame, path: str) -> None:
+    """Judge calls with all attempts, by run and batch; a batch that is asked again by a replay replaces itself."""
+    write_parts(calls, path, ["run", "batch"])
+
+
+def write_rewards(rewards: DataFrame, path: str) -> None:
+    """Reward records by run and serial."""
+    write_parts(rewards, path, ["run", "serial"])
+
+
+def changed_parts(rows: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
+    """The parts of ``rows`` that ``held`` has with other rows: a replay has none. Both have the same columns, in any order."""
+    columns = sorted(c for c in rows.columns if c not in by)
+    now, was = (I.multiset_digest(d.select(*by, *(F.to_json(F.struct(F.col(c).alias("v"))).alias(c) for c in columns)), by, columns) for d in (rows, held))
+    return now.join(was.select(*by, F.col("rows").alias("_rows"), F.col("digest").alias("_digest")), by).filter((F.col("rows") != F.col("_rows")) | (F.col("digest") != F.col("_digest"))).select(*by)
 
 
-def append_rewards(rewards: DataFrame, path: str) -> None:
-    rewards.write.mode("append").partitionBy("run", "serial").parquet(path)
+def replay_rewards(rewards: DataFrame, path: str) -> None:
+    """Writes reward records and refuses a serial that is there with other records: a serial means one batch for good."""
+    spark = rewards.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        held = spark.read.schema(rewards.schema).parquet(path)
+        changed = changed_parts(rewards, held, ["run", "serial"]).orderBy("run", "serial").limit(1).collect()
+        if changed:
+            raise ValueError(f"serial {changed[0].serial} of run {changed[0].run} holds other records")
+    write_rewards(rewards, path)
 
 
 def next_serial(samples: DataFrame) -> int:

@@ -315,3 +315,74 @@ def test_manifest_drift(spark):
     old = spark.createDataFrame([("lr", "1"), ("endpoint", "x")], "key string, value string")
     new = spark.createDataFrame([("lr", "2"), ("endpoint", "y"), ("world_size", "1")], "key string, value string")
     assert [r.key for r in integrity.manifest_drift(old, new).collect()] == ["lr"]
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path, monkeypatch):
+    """Over 2 GB, mostly a hole; files around the limit and the block; an empty one; several large ones at once."""
+    (tmp_path / "d").mkdir()
+    sizes = {"empty": 0, "one": 1, "limit": 1000, "over": 1001, "blocks": 4096, "odd name ü 5%20.bin": 4097}
+    want = {}
+    for k, (name, size) in enumerate(sizes.items()):
+        body = bytes((i * 7 + k) % 251 for i in range(size))
+        (tmp_path / "d" / name).write_bytes(body)
+        want[name] = sha256(body).hexdigest()
+    monkeypatch.setattr(integrity, "BLOCK", 1024)
+    got = {r.file: r.sha256 for r in integrity.digests(spark, str(tmp_path / "d"), large=1000).collect()}
+    assert got == want
+    monkeypatch.setattr(integrity, "BLOCK", 4 << 20)
+    big, size = tmp_path / "big.pt", (2 << 30) + 12345
+    with big.open("wb") as f:
+        f.write(b"head")
+        f.seek(size - 4)
+        f.write(b"tail")
+    running = sha256(b"head")
+    zeros = bytes(1 << 24)
+    left = size - 8
+    while left:
+        running.update(zeros[: min(left, len(zeros))])
+        left -= min(left, len(zeros))
+    running.update(b"tail")
+    assert [tuple(r) for r in integrity.digests(spark, str(big)).collect()] == [("big.pt", running.hexdigest())]
+
+
+def test_quota_picks_limit_each_key_before_the_shuffle(spark):
+    rows = spark.range(4000).selectExpr("id as row_id", "if(id % 3 = 0, 'a', 'b') as character", "cast(id as string) as reply", "(id % 100 - 50) / 8.0 as margin", "id % 7 = 0 as opener", "id div 40 as batch", "id div 8 as grp")
+    for df in (labels.pick_bands(rows, 34, "s"), labels.opener_pairs(rows, 11, "a", "s")):
+        assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    got = labels.pick_bands(rows, 34, "s").groupBy("character", "band").count().collect()
+    assert all(r["count"] == 3 + (r.band < 2) for r in got) and len(got) == 10
+    assert {r.character: r["count"] for r in labels.opener_pairs(rows, 11, "a", "s").groupBy("character").count().collect()} == {"a": 6, "b": 5}
+
+
+def test_a_replayed_part_leaves_one_copy(spark, tmp_path):
+    schema = "run string, serial long, row_id long, value double, keys map<string,string>"
+    rows = lambda serial, v: spark.createDataFrame([("r", serial, i, v, {"AB": "x"}) for i in range(3)], schema)
+    path = str(tmp_path / "rewards")
+    for serial, v in ((1, 0.5), (2, 0.25), (1, 0.5), (2, 0.25)):
+        runs.replay_rewards(rows(serial, v), path)
+    held = spark.read.schema(schema).parquet(path)
+    assert sorted((r.serial, r.row_id, r.value) for r in held.collect()) == [(s, i, v) for s, v in ((1, 0.5), (2, 0.25)) for i in range(3)]
+    assert runs.next_serial(held) == 3
+    with pytest.raises(ValueError, match="serial 2 of run r holds other records"):
+        runs.replay_rewards(rows(2, 0.75), path)
+    with pytest.raises(ValueError, match="serial 1"):
+        runs.replay_rewards(rows(1, 0.5).union(rows(1, 0.5)), path)
+    calls = spark.createDataFrame([("r", 1, "k", [("ok",)])], "run string, batch long, key string, attempts array<struct<status:string>>")
+    for _ in range(2):
+        runs.write_calls(calls, str(tmp_path / "calls"))
+    runs.write_calls(calls.withColumn("batch", F.lit(2).cast("long")), str(tmp_path / "calls"))
+    assert spark.read.parquet(str(tmp_path / "calls")).count() == 2
+
+
+def test_rank_digests_find_one_altered_row(spark):
+    rows = [(g, r, f"t{i}", i / 8, None if i % 5 else i) for g in range(3) for r in range(2) for i in range(50)]
+    schema = "step int, rank int, name string, value double, extra int"
+    df = spark.createDataFrame(rows, schema)
+    agree = lambda d: {r.step: (r.ranks, r.agree) for r in integrity.rank_agreement(d, ["step"], "rank", ["name", "value", "extra"]).collect()}
+    assert agree(df.repartition(7)) == {g: (2, True) for g in range(3)}
+    altered = [(g, r, n, v + (1e-9 if (g, r, n) == (1, 1, "t7") else 0), x) for g, r, n, v, x in rows]
+    assert agree(spark.createDataFrame(altered, schema)) == {0: (2, True), 1: (2, False), 2: (2, True)}
+    # One row twice, another missing: the same number of rows.
+    moved = [(g, r, "t8" if (g, r, n) == (2, 0, "t7") else n, 1.0 if (g, r, n) == (2, 0, "t7") else v, x) for g, r, n, v, x in rows]
+    assert agree(spark.createDataFrame(moved, schema))[2] == (2, False)
+

@@ -2,7 +2,9 @@
 
 import json
 import math
-from hashlib import md5
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,25 +219,65 @@ def test_similarity_is_the_edit_distance_ratio(spark):
     assert got == pytest.approx([1 - distance(a, b) / max(len(a), len(b), 1) for a, b in pairs])
 
 
-def test_bootstrap_interval_equals_brute_force(spark):
+def mixed(x):
+    m = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+    return x ^ (x >> 31)
+
+
+def test_bootstrap_interval_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(stats, "SLICE", 7)
     data = [(i, i % 3 - 1, ((i * 7) % 11) / 10 - 0.4 + 0.3 * (i % 3)) for i in range(60)]
+    rows = spark.createDataFrame([*data, (99, None, 1.0), (98, 1, None)], "key int, human int, judge double")
+    hashes = {r.key: r.h for r in rows.select("key", F.xxhash64(F.lit("s"), F.col("key").cast("string")).alias("h")).collect()}
     cdf, term = [math.exp(-1)], math.exp(-1)
     for k in range(1, 11):
         term /= k
         cdf.append(cdf[-1] + term)
-    found = []
+    assert stats.poisson_edges().tolist() == pytest.approx(cdf)
+    found, taken = [], []
     for draw in range(1, 41):
         w = []
         for key, *_ in data:
-            u = (int(md5(f"s|{draw}|{key}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+            u = ((mixed((hashes[key] + draw * 0x9E3779B97F4A7C15) % (1 << 64)) >> 11) + 0.5) / 2**53
             w.append(sum(u > c for c in cdf))
+        taken += w
         n = sum(w)
         mean = [sum(a * r[k] for a, r in zip(w, data)) / n for k in (1, 2)]
         cov = sum(a * (r[1] - mean[0]) * (r[2] - mean[1]) for a, r in zip(w, data))
         var = [sum(a * (r[k] - mean[k - 1]) ** 2 for a, r in zip(w, data)) for k in (1, 2)]
         found.append(cov / math.sqrt(var[0] * var[1]))
+    assert sum(taken) / len(taken) == pytest.approx(1, abs=0.06)
     found.sort()
     at = lambda q: found[int(q * 39)] + (q * 39 - int(q * 39)) * (found[min(39, int(q * 39) + 1)] - found[int(q * 39)])
-    rows = spark.createDataFrame(data, "key int, human int, judge double")
-    r = stats.bootstrap_pearson(rows, 40, "s").first()
-    assert (r.low, r.high) == pytest.approx((at(0.025), at(0.975)), abs=2e-6)
+    for parts in (1, 5):
+        df = stats.bootstrap_pearson(rows.repartition(parts), 40, "s")
+        r = df.first()
+        assert (r.low, r.high) == pytest.approx((at(0.025), at(0.975)), abs=2e-6)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+    empty = stats.bootstrap_pearson(rows.limit(0), 5, "s").first()
+    assert (empty.low, empty.high) == (None, None)
+
+
+@pytest.mark.parametrize("tracked", [16, 64, 1 << 14])
+def test_top_phrases_equal_brute_force(spark, tracked):
+    """Few tracked phrases: keys that the sketch cannot settle are counted in full; hot phrases are settled by it."""
+    rng = random.Random(tracked)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(by, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for by in "ab" for _ in range(300)]
+    rows += [("hot", "the same four words\tand\n more")] * 900 + [("hot", f"x{i} y{i} z{i}") for i in range(100)] + [("few", "a b c d"), ("none", "a b"), ("none", None)]
+    want = []
+    for by in {b for b, _ in rows}:
+        n = Counter(" ".join(w[i : i + 3]) for b, t in rows if b == by for w in [re.findall(r"[^ \t\n]+", t or "")] for i in range(len(w) - 2))
+        want += [(by, p, c, r) for r, (p, c) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:4], 1)]
+    got = stats.top_phrases(spark.createDataFrame(rows, "by string, reply string"), "by", 4, 3, tracked)
+    assert sorted(tuple(r) for r in got.select("by", "phrase", "n", "rank").collect()) == sorted(want)
+
+
+def test_window_shares(spark):
+    rows = spark.createDataFrame([(i % 10, i % 3 == 0) for i in range(40)], "step long, flag boolean")
+    got = {(r.first, r.last): (r.steps, r.share) for r in stats.window_shares(rows, "step", F.col("flag"), [(0, 4), (3, 9), (20, 30)]).collect()}
+    share = lambda a, b: round(sum(i % 3 == 0 for i in range(40) if a <= i % 10 <= b) / sum(a <= i % 10 <= b for i in range(40)), 6)
+    assert got == {(0, 4): (5, share(0, 4)), (3, 9): (7, share(3, 9))}

@@ -9,10 +9,13 @@ lines) is put on by row_id modulo 20. The same rules stand in SQL in plans/sql.p
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Persona, Rules
+from ..functions.protocol import DIMENSIONS, PAIR_PROTOCOL
 from ..session import table
 
 RULES = Rules(
@@ -74,3 +77,16 @@ def suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = user.join(reply, ["conv_id", "turn"])
     split = F.when(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 1) < "4", "test").otherwise("train")
     return rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("-L"), F.col("turn").cast("string")).alias("row_id"), F.col("conv_id").alias("template"), "line", "reply", split.alias("split"))
+
+
+def chat(payload: str) -> tuple[int | None, str | None, str | None]:
+    """Stands for a remote judge that prefers the longer candidate: a chat body; by the candidates' lengths some requests find it
+    down and some get an answer of no known winner."""
+    p = json.loads(payload)
+    a, b = len(p["candidate_A"]), len(p["candidate_B"])
+    if a % 13 == 0:
+        return 503, None, None
+    winner = "C" if b % 11 == 0 else "A" if a > b else "B" if a < b else "tie"
+    dimension = {"status": "scored", "score": 2, "reason": "length", "evidence_ids": ["E3"]}
+    said = {"protocol": PAIR_PROTOCOL, "winner": winner, "scores": {s: {d: dimension for d in DIMENSIONS} for s in "AB"}, "reason": "length", "preference_evidence_ids": ["E3"]}
+    return 200, json.dumps({"choices": [{"message": {"content": json.dumps(said)}}]}), None

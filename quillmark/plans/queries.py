@@ -14,7 +14,8 @@ from ..operators import labels as L
 from ..operators import pairs as P
 from ..operators import reward as W
 from ..operators import stats as S
-from ..session import table, written
+from ..operators.outside import outside_judge
+from ..session import shared_folder, table, written
 from . import demo
 from .sql import METRICS, mean6, over
 
@@ -573,3 +574,22 @@ def rank_agreement(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d).select((F.col("row_id") % demo.SPAN).alias("grp"), F.floor(F.col("row_id") / demo.SPAN).alias("pos"), "reply", F.col("style").cast("decimal(9,3)").alias("style"))
     both = s.withColumn("rank", F.explode(F.array(F.lit(0), F.lit(1)))).filter("rank = 0 or grp % 7 <> 3 or pos <> 0")
     return I.rank_agreement(both, ["grp"], "rank", ["pos", "reply", "style"])
+
+
+@query(
+    over(
+        "asked",
+        """SELECT status, winner, CAST(CASE status WHEN 'inference_error' THEN 2 ELSE 1 END AS INTEGER) AS attempts, count(*) AS calls FROM (
+ SELECT status, CASE WHEN status = 'ok' THEN CASE WHEN a > b THEN 'A' WHEN a < b THEN 'B' ELSE 'tie' END END AS winner FROM (
+  SELECT *, CASE WHEN a % 13 = 0 THEN 'inference_error' WHEN b % 11 = 0 THEN 'parse_error' ELSE 'ok' END AS status FROM (
+   SELECT DISTINCT batch, rank, key, length(shown_a) AS a, length(shown_b) AS b FROM asked WHERE trim(shown_a) <> '' AND trim(shown_b) <> ''))) GROUP BY ALL""",
+    )
+)
+def outside_judge_calls(spark: SparkSession, d: str) -> DataFrame:
+    """All requests of all samples through a client asked from Spark's tasks, its answers recorded and strictly parsed."""
+    pending = P.pending(P.requests(written(_scored(spark, d)))).filter("trim(shown_a) <> '' and trim(shown_b) <> ''")
+    items = evidence(demo.RULES, F.col("character"), F.col("situation"), F.col("speaker"), F.col("line"))
+    payload = pair_payload(demo.RULES, F.col("character"), items, F.col("shown_a"), F.col("shown_b"))
+    record = shared_folder(spark, "answers")
+    judge = outside_judge(payload, allowed_citations(items), demo.chat, record, buckets=256, every=4096, attempts=2)
+    return judge(pending).groupBy("status", "winner", "attempts").agg(F.count(F.lit(1)).alias("calls"))

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import integrity as I
 
@@ -31,9 +32,7 @@ def reward_samples(spark: SparkSession, glob: str, group_size: int = 8) -> DataF
     return out.withColumn("verdict", F.coalesce("pairwise", "verdict")).drop("pairwise")
 
 
-def judge_calls(spark: SparkSession, glob: str) -> DataFrame:
-    """Judge call records keyed by rank, batch and id; a request asked again in a later batch stays apart."""
-    c = spark.read.schema(CALL).option("multiLine", True).json(glob)
+def _calls(c: DataFrame, *more: str) -> DataFrame:
     score = lambda s, d: F.when(F.col(f"final.judgement.scores.{s}.{d}.status") == "scored", F.col(f"final.judgement.scores.{s}.{d}.score"))
     total = lambda s: score(s, "P") + score(s, "R") + score(s, "N")
     return c.select(
@@ -43,9 +42,29 @@ def judge_calls(spark: SparkSession, glob: str) -> DataFrame:
         F.col("final.call_status").alias("status"),
         F.col("final.judgement.winner").alias("winner"),
         F.when(F.col("final.call_status") == "ok", total("A") - total("B")).alias("margin_a"),
+        *more,
     )
 
 
+def judge_calls(spark: SparkSession, glob: str) -> DataFrame:
+    """Judge call records keyed by rank, batch and id; a request asked again in a later batch stays apart."""
+    return _calls(spark.read.schema(CALL).option("multiLine", True).json(glob))
+
+
+def new_calls(spark: SparkSession, glob: str, lateness: str = "1 day", lines: bool = False) -> DataFrame:
+    """judge_calls() as a stream: each start reads only files that were not there before. A record that comes in several files
+    counts once, if they were written within ``lateness`` of each other; the state holds keys for no longer. ``lines``: records as JSON lines."""
+    read = spark.readStream.schema(CALL).option("multiLine", not lines).json(glob)
+    timed = read.withColumn("written", F.col("_metadata.file_modification_time"))
+    return _calls(timed, "written").withWatermark("written", lateness).dropDuplicatesWithinWatermark(["rank", "batch", "id"])
+
+
+def gather_calls(spark: SparkSession, glob: str, out: str, checkpoint: str, lateness: str = "1 day", lines: bool = False) -> StreamingQuery:
+    """Adds the calls of new files to the table ``out``, each exactly once, and stops."""
+    rows = new_calls(spark, glob, lateness, lines).drop("written")
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def usable_margins(samples: DataFrame, calls: DataFrame) -> DataFrame:
     """Usable judged samples with their raw margin, the mean over both orders in points (-12 to 12)."""
     s = samples.filter(~F.col("rejected") & F.col("hard").isNull() & F.col("keys").isNotNull() & F.col("verdict").isNotNull())

@@ -1,5 +1,6 @@
 """Streams of reward batches: assembly and streak as state, restarts, late and missing members."""
 
+import json
 import time
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import pairs, reward
 from quillmark.plans import demo
+from quillmark.sources import runs
 from quillmark.streaming import assembly, rewards
 
 JUDGE = pairs.faulty(pairs.stub_judge)
@@ -102,3 +104,30 @@ def test_streaks_count_a_serial_once(spark, tmp_path):
         out = assembly.streaks(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
         out.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.run, r.batch, r.streak, r.abort) for r in got) == [("q", 5, 1, False), ("r", 0, 1, False), ("r", 1, 2, False), ("r", 2, 3, True), ("r", 3, 0, False)]
+
+
+def test_new_call_files_add_rows_once(spark, tmp_path):
+    def call(rank, batch, key, p=3):
+        folder = tmp_path / f"rank{rank}/calls/batch_{batch:05d}/{key}"
+        folder.mkdir(parents=True, exist_ok=True)
+        d = lambda n: {x: {"status": "scored", "score": n, "reason": "r", "evidence_ids": ["E1"]} for x in "PRN"}
+        (folder / "result.json").write_text(json.dumps({"id": key, "request_sha256": key, "final": {"call_status": "ok", "judgement": {"winner": "A", "scores": {"A": d(p), "B": d(1)}}}}))
+
+    glob, out = f"{tmp_path}/rank*/calls/batch_*/*/*.json", str(tmp_path / "out")
+    read = []
+
+    def gather():
+        q = runs.gather_calls(spark, glob, out, str(tmp_path / "state"))
+        q.awaitTermination()
+        read.append(sum(p.numInputRows for p in q.recentProgress))
+        return sorted((r["rank"], r.batch, r.id, r.margin_a) for r in spark.read.parquet(out).collect())
+
+    call(0, 1, "a")
+    call(1, 1, "a", 2)
+    assert gather() == [(0, 1, "a", 6), (1, 1, "a", 3)]
+    call(0, 2, "a")  # asked again in a later batch
+    (tmp_path / "rank0/calls/batch_00001/a/copy.json").write_text((tmp_path / "rank0/calls/batch_00001/a/result.json").read_text())
+    assert gather() == [(0, 1, "a", 6), (0, 2, "a", 6), (1, 1, "a", 3)]
+    assert gather() == [(0, 1, "a", 6), (0, 2, "a", 6), (1, 1, "a", 3)]
+    assert read == [2, 2, 0]  # earlier files are not read again
+    assert sorted((r["rank"], r.batch, r.id, r.margin_a) for r in runs.judge_calls(spark, f"{tmp_path}/rank*/calls/batch_*/*/result.json").collect()) == gather()

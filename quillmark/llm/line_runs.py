@@ -1,17 +1,20 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A line's key is the line stripped of blanks at both ends and lower-cased (A-Z). ``LineRuns`` keeps, per
-key hash, the number of documents that hold the key, as runs: tables sorted by hash in the shared
-folder. Each batch of documents is counted by key and merge-anti-joined with the keys that the runs
-already hold often enough; only what is left becomes a new run at level 0, so a line that every document
-shares is written a few times and then no more. When a level holds ``fanout`` runs they are merged into
-one run of the next level, so a key is rewritten a logarithmic number of times.
+key hash, the number of documents that hold the key, as runs: tables in the shared folder, bucketed by hash and
+sorted within each bucket. Each batch of documents is counted by key, dealt into the same buckets and merged with the runs
+as they lie, which are neither shuffled nor sorted again. Keys that a run holds often enough already are anti-joined away; the others
+become a new run at level 0, each with its count over all batches so far, so a line that every document
+shares is written a few times and then no more. When a level holds ``fanout`` runs and another batch comes, they are merged into
+one run of the next level, so a key is rewritten, and a batch meets runs, a logarithmic number of times.
 
 A key is dropped by how often the whole corpus holds it, so documents are judged when all batches are in:
-their line hashes, made once and written, are joined with the frequent keys. A hash is two 64-bit hashes
+their line hashes, made once and written by batch, are joined with the frequent keys. A hash is two 64-bit hashes
 of the key. Counting combines in the map tasks before the shuffle, so a line that a third of all documents
 share arrives once per task.
 
+Runs are listed in the session catalog while batches come in, since Spark reads buckets through it.
+
 Defined results: a null or empty text is one empty line; keys shorter than ``min_chars`` code points are never counted or
 dropped; a document that repeats a key counts once; repeated rows count as documents of their own and
 get equal results; an empty table gives no rows; columns beside the text are carried along, whatever their names.
@@ -19,6 +22,9 @@ get equal results; an empty table gives no rows; columns beside the text are car
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,56 +51,117 @@ def hashed_lines(docs: DataFrame, text_col: str, min_chars: int, batches: int) -
     return docs.select(*common.row_key(docs), F.pmod(F.xxhash64(F.lit("batch"), text), F.lit(batches)).cast("int").alias("batch"), hashes.alias("hashes"))
 
 
+#: Spark trusts the order of buckets that are one file each, and does not take a union of bucketed scans to be
+#: bucketed: 4.1 does, but reads the scans one after the other, so equal keys would not meet.
+_SORTED_SCANS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+
+
+@contextlib.contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    """These settings for the plans that run inside."""
+    before = {name: spark.conf.get(name, None) for name in _SORTED_SCANS}
+    try:
+        for name, value in _SORTED_SCANS.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, docs) below one folder of the shared store."""
+    """Levelled sorted runs of (h1, h2, docs) below the shared folder. A key's newest entry counts all batches so far."""
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
-        self.spark, self.min_docs, self.fanout, self.levels = spark, min_docs, fanout, [[]]
-
-    def _write(self, counts: DataFrame) -> DataFrame:
-        return common.materialise(counts.sortWithinPartitions("h1", "h2"), "run", small=True)
+        self.spark, self.min_docs, self.fanout = spark, min_docs, max(2, fanout)
+        #: Runs by level, as (table, path), and the number of merges so far.
+        self.levels: list[list[tuple[str, str]]] = [[]]
+        self.merges = 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(table) for level in self.levels for table, _ in level]
+
+    def _write(self, counts: DataFrame) -> tuple[str, str]:
+        path = common.scratch(self.spark, "run")
+        table = f"spark_catalog.default.quillmark_run_{common.fresh()}"
+        # One task has all of a bucket, so a bucket is one sorted file.
+        rows = counts.repartition(self.buckets, "h1", "h2")
+        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(table)
+        common.expire(self.spark, path)
+        return table, path
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for table, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            common.remove(self.spark, path)
+
+    def merged(self, keys: DataFrame) -> DataFrame:
+        """(h1, h2, docs) of a batch's keys that no run holds often enough, counted over the batch and all runs."""
+        out = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs")).repartition(self.buckets, "h1", "h2")
+        held = []
+        for i, run in enumerate(self.runs()):
+            held.append(f"held{i}")
+            out = out.join(run.withColumnRenamed("docs", held[-1]).hint("merge"), ["h1", "h2"], "left")
+        if held:
+            known = F.greatest(F.lit(0), *held)
+            out = out.filter(known < self.min_docs).select("h1", "h2", (F.col("docs") + known).alias("docs"))
+        return out
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: (h1, h2) once for each of its documents that holds the key. Keys that are frequent already
         stay out of the new run."""
-        counts = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
-        if any(self.levels):
-            counts = counts.join(self._frequent().hint("merge"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._write(counts))
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            self._merge(level)
-            level += 1
+        with _sorted_scans(self.spark):
+            level = 0
+            while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
+                self._merge(level)
+                level += 1
+            self.levels[0].append(self._write(self.merged(keys)))
 
     def _merge(self, level: int) -> None:
         if level + 1 == len(self.levels):
             self.levels.append([])
         old, self.levels[level] = self.levels[level], []
-        self.levels[level + 1].append(self._write(self._sum(old)))
-        common.drop_scratch(*old)
+        out = self.spark.table(old[0][0])
+        for table, _ in old[1:]:
+            out = out.unionByName(self.spark.table(table))
+        self.levels[level + 1].append(self._write(out.groupBy("h1", "h2").agg(F.max("docs").alias("docs"))))
+        self.merges += 1
+        self._drop(old)
 
-    def _sum(self, runs: list[DataFrame]) -> DataFrame:
+    def frequent(self) -> DataFrame:
+        """Keys found in at least ``min_docs`` documents of all batches so far, written apart: a join with a plain table can be
+        split where one key has many rows. Exactly one run holds such a key with its full count."""
+        runs = self.runs()
+        if not runs:
+            return self.spark.createDataFrame([], "h1 long, h2 long")
         out = runs[0]
         for r in runs[1:]:
             out = out.unionByName(r)
-        return out.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"))
+        return common.materialise(out.filter(F.col("docs") >= self.min_docs).select("h1", "h2"), "frequent", small=True)
 
-    def _frequent(self) -> DataFrame:
-        return self._sum([r for level in self.levels for r in level]).filter(F.col("docs") >= self.min_docs).select("h1", "h2")
+    def close(self) -> None:
+        """Delete all runs, in the catalog too."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = [[]]
 
-    def frequent(self) -> DataFrame:
-        """Keys found in at least ``min_docs`` documents of all batches so far, as a run of their own: a
-        join with a plain table can be split where one key has many rows."""
-        return self._write(self._frequent())
+
+def batch_keys(hashed: DataFrame, batch: int) -> DataFrame:
+    """(h1, h2) once for each document of a batch of hashed_lines() that holds the key."""
+    own = hashed.filter(F.col("batch") == batch).select(F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h"))
+    return own.select("h.h1", "h.h2")
 
 
-def count_lines(hashed: DataFrame, min_docs: int, batches: int, fanout: int) -> LineRuns:
-    """Runs of all batches of hashed_lines()."""
+def frequent_keys(hashed: DataFrame, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """Keys that at least ``min_docs`` documents of hashed_lines() hold, by runs of all its batches."""
     runs = LineRuns(hashed.sparkSession, min_docs, fanout)
-    for b in range(batches):
-        own = hashed.filter(F.col("batch") == b).select(F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h"))
-        runs.add(own.select("h.h1", "h.h2"))
-    return runs
+    try:
+        for b in range(batches):
+            runs.add(batch_keys(hashed, b))
+        return runs.frequent()
+    finally:
+        runs.close()
 
 
 def kept_text(text: Column, gone: Column) -> Column:
@@ -111,14 +178,15 @@ def kept_text(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.get(F.transform(F.array(F.struct(lines.alias("lines"), edges.alias("gone"))), stay), F.lit(0)))
 
 
-def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 8, fanout: int = 4, text_col: str = "text") -> DataFrame:
     """``docs`` and, as the last three columns, n_lines, n_dropped and kept (the text without dropped lines). Where
     ``docs`` has such a name, the new column's gets underscores behind it.
 
     Only hashes and positions are shuffled to tell what goes, then each document once.
     """
-    hashed = common.materialise(hashed_lines(docs, text_col, min_chars, batches), "lines", small=True)
-    frequent = count_lines(hashed, min_docs, batches, fanout).frequent()
+    # Written by batch, so that each batch reads its own lines only.
+    hashed = common.materialise(hashed_lines(docs, text_col, min_chars, batches), "lines", small=True, by=("batch",))
+    frequent = frequent_keys(hashed, min_docs, batches, fanout)
     lines = hashed.select("k1", "k2", F.posexplode("hashes").alias("pos", "h")).select("k1", "k2", "pos", "h.h1", "h.h2").filter("h1 is not null")
     gone = lines.join(frequent, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     names = docs.columns

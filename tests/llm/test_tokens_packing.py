@@ -115,6 +115,38 @@ def test_line_dedup_cases(spark):
     assert line_runs.dedup(twice).count() == 2 * len(texts)
 
 
+def test_runs_merge_before_the_last_batch_and_lie_still(spark):
+    """Counts of all batches equal brute force at any fanout; runs are neither shuffled nor sorted to meet a batch."""
+    rng = np.random.default_rng(5)
+    docs = [(i, "\n".join(f"line {int(x)}" for x in rng.zipf(1.4, 12) if x < 500)) for i in range(300)]
+    hashed = common.materialise(line_runs.hashed_lines(spark.createDataFrame(docs, "doc_id long, text string"), "text", 1, 6), "lines", by=("batch",))
+    every = {}
+    for _, t in docs:
+        for x in set(t.split("\n")) - {""}:
+            every[x] = every.get(x, 0) + 1
+    hot = {x for x, n in every.items() if n >= 10}
+    for fanout in (2, 9):
+        runs = line_runs.LineRuns(spark, 10, fanout)
+        for b in range(5):
+            runs.add(line_runs.batch_keys(hashed, b))
+        assert runs.merges >= 1 or fanout == 9
+        assert all(run.groupBy("h1", "h2").count().filter("count > 1").isEmpty() for run in runs.runs())
+        with line_runs._sorted_scans(spark):
+            plan = runs.merged(line_runs.batch_keys(hashed, 5))
+            text = plan._jdf.queryExecution().executedPlan().toString()
+        assert text.count("SortMergeJoin") == len(runs.runs()) >= 1
+        # The batch alone is shuffled, once, and sorted.
+        assert text.count("Sort [") == 1 and text.count("Exchange") == 1, text
+        runs.add(line_runs.batch_keys(hashed, 5))
+        names = spark.createDataFrame([(x,) for x in every], "key string")
+        h = line_runs._hashes(line_runs.line_key(names.key), 1)
+        found = runs.frequent()
+        got = {r.key for r in names.select("key", h.h1.alias("h1"), h.h2.alias("h2")).join(found, ["h1", "h2"], "left_semi").collect()}
+        assert got == hot and found.count() == len(hot) > 5
+        runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quillmark_run_")]
+
+
 def test_a_small_word_cache_gives_the_same_ids():
     from quillmark.llm.wordcoder import WordCoder
 

@@ -77,7 +77,8 @@ class LineRuns:
         #: Runs by level, as (table, path), and the number of merges so far.
         self.levels: list[list[tuple[str, str]]] = [[]]
         self.merges = 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # As many as a shuffle has partitions, as far as Spark allows buckets.
+        self.buckets = min(int(spark.conf.get(f"spark.sql.{x}")) for x in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(table) for level in self.levels for table, _ in level]

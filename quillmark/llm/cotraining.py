@@ -14,7 +14,8 @@ rows, or the others, lack a kind, all labelled rows serve as both.
 Defined results: a null or empty text has no words and scores by what remains; null source, language
 or labels count as a value of their own, and rows with a null label or doc_id are not fitted on;
 without labelled rows of both kinds every score is 1; a doc_id labelled twice counts as its worst label; of different
-rows with one doc_id one is fitted on, by a hash of the row. Only doc_id, text, source, lang and n_chars are read.
+rows with one doc_id one is fitted on, by a hash of the row. Only doc_id, text, source, lang and n_chars are read,
+other columns are carried along. An empty table gives no model and no rows; very long texts are read whole.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Sets are compared by 64-bit shingle hashes; classes are named by a 64-bit hash o
 
 Defined results: a text with fewer than n words is one shingle; null, empty or blank texts have no
 shingle and stand alone; rows repeated with one doc_id are linked like any others; an empty table
-gives no rows; a null doc_id gives a null component only if the whole component has none.
+gives no rows; a null doc_id gives a null component only if the whole component has none. Whole texts are read, however
+long; of the other columns only those to carry.
 """
 
 from __future__ import annotations

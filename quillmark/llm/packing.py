@@ -8,7 +8,8 @@ combination is taken out as often as the counts allow. A piece finds its place f
 its length: local rank in its task plus a prefix sum over the tasks.
 
 Defined results: a null or empty text is one piece with the end id; repeated rows are documents of
-their own; an empty table gives no rows.
+their own; a very long text is cut into as many pieces as it fills; pieces of equal length take the places of that length
+in the order of their ranks; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations

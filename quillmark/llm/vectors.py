@@ -2,6 +2,7 @@
 
 Which vectors take part: those with an id, of the table's most frequent length (of several, the
 longest), without null, NaN or infinite components. Rows of one id count as one, the smallest vector.
+An empty table gives no rows; only the id and vector columns are read.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_json
+from ..functions.rules import pin
 from .integrity import transient
 from .pairs import SCORES, Judge
 
@@ -129,12 +130,13 @@ def outside_judge(payload: Column, allowed: Column, client: Client, record: str,
 
     def judge(pending: DataFrame) -> DataFrame:
         got = answers(pending, payload, client, record, **limits)
-        j = pending.join(got, "key").withColumn("raw", text(F.col("body")))
+        # Each step is computed once, whatever names it later.
+        j = pin(pending.join(got, "key"), raw=text(F.col("body")))
+        j = pin(j, fault=strict_json.pair_error(F.col("raw"), allowed))
         failed = F.coalesce((F.col("http") >= 400), F.lit(True)) | F.col("error").isNotNull()
-        fault = strict_json.pair_error(F.col("raw"), allowed)
-        j = j.withColumn("status", strict_json.envelope(F.col("raw"), failed, F.lit(False), fault))
-        j = j.withColumn("s", F.when(F.col("status") == "ok", strict_json.pair_scores(F.col("raw"))))
+        j = pin(j, status=strict_json.envelope(F.col("raw"), failed, F.lit(False), F.col("fault")))
+        j = pin(j, s=F.when(F.col("status") == "ok", strict_json.pair_scores(F.col("raw"))))
         score = lambda c: F.col(f"s.{c.upper()}").cast("int").alias(c)
-        return j.select("batch", "rank", "key", "status", F.col("s.winner").alias("winner"), *(score(c) for c in SCORES), "attempts", F.coalesce("error", fault).alias("error"), transient(F.col("http"), F.col("error")).alias("transient"))
+        return j.select("batch", "rank", "key", "status", F.col("s.winner").alias("winner"), *(score(c) for c in SCORES), "attempts", F.coalesce("error", "fault").alias("error"), transient(F.col("http"), F.col("error")).alias("transient"))
 
     return judge

@@ -93,3 +93,13 @@ def test_faults_budgets_and_redaction(spark, tmp_path):
     calls = outside.outside_judge(PAYLOAD(), allowed_citations(ITEMS()), lambda p: asked.append(p), f"file://{tmp_path}/tiny", buckets=1, most_bytes=10)(rows).collect()
     assert {(r.status, r.error, r.attempts) for r in calls} == {("inference_error", "input budget exceeded", 0)}
     assert judge_of(client, tmp_path)(rows.limit(0)).count() == 0
+
+
+def test_an_answer_is_parsed_twice_at_most(spark, tmp_path):
+    calls = judge_of(lambda p: (200, reply(p), None), tmp_path)(pending(spark, 4))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = calls._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 1 <= plan.count("parseJson(") <= 2

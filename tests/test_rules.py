@@ -127,6 +127,16 @@ def test_pair_response_errors(spark):
     assert column(spark, [c for c, _ in CASES], lambda x: strict_json.pair_error(x, allowed)) == [e for _, e in CASES]
 
 
+def test_a_response_is_parsed_once(spark):
+    """However many rules name it; a text that looks like an object is none."""
+    allowed = F.array(F.lit("E1"))
+    as_text = json.dumps(response(scores=json.dumps({"A": 1, "B": 2})))
+    df = spark.createDataFrame([(json.dumps(response()),), (as_text,)], "raw string").select(strict_json.pair_error(F.col("raw"), allowed).alias("error"), strict_json.pair_scores(F.col("raw")).alias("s"))
+    assert [r.error for r in df.collect()] == [None, "Both candidates required"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("parseJson(") <= 2 and "get_json_object" not in plan  # one for the errors, one for the scores
+
+
 def test_attribution_errors(spark):
     good = {"protocol": "style-attribution", "speaker": "rei", "reason": "r"}
     cases = [(good, None), ({**good, "x": 1}, "Unexpected attribution fields"), ({**good, "speaker": "who"}, "Invalid attribution version/speaker"), ({**good, "reason": ""}, "Missing attribution reason")]

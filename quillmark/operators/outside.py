@@ -9,6 +9,7 @@ Speculative execution should be off while a client is asked: two copies of a tas
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 import uuid
@@ -39,15 +40,15 @@ def _passing(http: int | None, error: str | None) -> bool:
 
 
 class Book:
-    """The answers of one bucket: JSON lines in files that are written once."""
+    """The answers of one bucket: compressed JSON lines in files that are written once. Plain files are read too."""
 
     def __init__(self, uri: str, bucket: int, every: int):
         self.store, top = fs.FileSystem.from_uri(quote(re.sub(r"^file:/+", "file:///", uri), safe="/:"))
         self.folder, self.every, self.new = f"{top}/bucket={bucket}", every, []
         self.held: dict[str, dict] = {}
         for f in self.store.get_file_info(fs.FileSelector(self.folder, allow_not_found=True)):
-            if f.base_name.endswith(".json"):
-                with self.store.open_input_stream(f.path) as s:
+            if f.base_name.endswith((".json", ".json.gz")):
+                with self.store.open_input_stream(f.path) as s:  # its name tells whether it is compressed
                     self.held |= {r["key"]: r for r in map(json.loads, s.read().decode().splitlines())}
         self.spent = sum(r["attempts"] for r in self.held.values())
 
@@ -64,8 +65,8 @@ class Book:
             self.store.create_dir(self.folder)
             name = f"{self.folder}/{uuid.uuid4().hex}"
             with self.store.open_output_stream(f"{name}.tmp") as s:
-                s.write("".join(json.dumps(r) + "\n" for r in self.new).encode())
-            self.store.move(f"{name}.tmp", f"{name}.json")
+                s.write(gzip.compress("".join(json.dumps(r) + "\n" for r in self.new).encode(), 1))
+            self.store.move(f"{name}.tmp", f"{name}.json.gz")
             self.new = []
 
 
@@ -121,7 +122,7 @@ def answers(pending: DataFrame, payload: Column, client: Client, record: str, bu
 
 def recorded(spark: SparkSession, record: str) -> DataFrame:
     """All recorded answers."""
-    return spark.read.schema(f"{RECORD}, bucket int").option("pathGlobFilter", "*.json").json(record).drop("bucket")
+    return spark.read.schema(f"{RECORD}, bucket int").option("pathGlobFilter", "*.{json,json.gz}").json(record).drop("bucket")
 
 
 def outside_judge(payload: Column, allowed: Column, client: Client, record: str, text: Callable[[Column], Column] = strict_json.provider_text, **limits) -> Judge:

@@ -1,5 +1,6 @@
 """An outside judge: strict answers, budgets, redaction, and no request asked twice."""
 
+import gzip
 import json
 import os
 import signal
@@ -103,3 +104,17 @@ def test_an_answer_is_parsed_twice_at_most(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert 1 <= plan.count("parseJson(") <= 2
+
+
+def test_records_are_compressed_and_plain_ones_are_read(spark, tmp_path):
+    said = lambda p: (200, reply(p), None)
+    judge = outside.outside_judge(PAYLOAD(), allowed_citations(ITEMS()), said, f"file://{tmp_path}/record", buckets=1, every=100)
+    assert {r.status for r in judge(pending(spark, 40)).collect()} == {"ok"}
+    files = list((tmp_path / "record/bucket=0").glob("*.json*"))
+    bodies = sum(len(r.body) for r in outside.recorded(spark, f"{tmp_path}/record").collect())
+    assert [f.suffixes for f in files] == [[".json", ".gz"]] and files[0].stat().st_size < bodies / 5
+    files[0].with_suffix("").write_bytes(gzip.decompress(files[0].read_bytes()))
+    files[0].unlink()
+    again = outside.outside_judge(PAYLOAD(), allowed_citations(ITEMS()), lambda p: (500, None, None), f"file://{tmp_path}/record", buckets=1)
+    assert {r.status for r in again(pending(spark, 40)).collect()} == {"ok"}
+    assert outside.recorded(spark, f"{tmp_path}/record").count() == 40
